@@ -51,7 +51,8 @@ def tokens_of(text: Column) -> Column:
 def topic_of(text: Column, tokens: Column) -> Column:
     """A class of form: table, symbols, note (under 40 words), long (2,000 words or more) or prose."""
     t = F.coalesce(text, F.lit(""))
-    return F.when(t.contains(" | "), "table").when(t.rlike(r"[#$%&*]{3}"), "symbols").when(tokens < 40, "note").when(tokens >= 2000, "long").otherwise("prose")
+    by_size = F.get(F.transform(F.array(tokens), lambda n: F.when(n < 40, "note").when(n >= 2000, "long").otherwise("prose")), F.lit(0))  # counts once
+    return F.when(t.contains(" | "), "table").when(t.rlike(r"[#$%&*]{3}"), "symbols").otherwise(by_size)
 
 
 def stratum(c: Column, named: dict[str, float]) -> Column:
