@@ -1,0 +1 @@
+"""Iteration here is over static tables; there is no stream operator to offer beyond Structured Streaming's own."""
