@@ -83,7 +83,9 @@ def _linked(entries: np.ndarray, free: np.ndarray) -> list[tuple[int, int]]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b) with a < b as unsigned numbers: all pairs of distinct fingerprints (column fp) within ``MAX_BITS`` bits."""
-    prepare(distinct.sparkSession)
+    spark = prepare(distinct.sparkSession)
+    # Each row becomes 28, so the rows are dealt evenly first instead of over the few tasks that their own size asks for.
+    distinct = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = []
     for k, chosen in enumerate(CHOICES):
         mask = sum(0xFF << (8 * p) for p in chosen)
