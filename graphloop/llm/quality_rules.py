@@ -103,9 +103,10 @@ def learn(rows: list[tuple[list[float], bool]], names: list[str]) -> list[Rule]:
         values = sorted(v[k] for v, _ in rows)
         marked = sorted(v[k] for v, b in rows if b)
         cuts = {s[min(len(s) - 1, len(s) * q // THRESHOLDS)] for s in (values, marked) for q in range(THRESHOLDS)}
-        # Half way to the next value, so that a rule doesn't hang on a value's last digit.
+        # Half way to the values beside it, so that a rule doesn't hang on a value's last digit.
         after = dict(zip(distinct := sorted(set(values)), distinct[1:], strict=False))
-        for cut in sorted((c + after.get(c, c)) / 2 for c in cuts):
+        before = dict(zip(distinct[1:], distinct, strict=False))
+        for cut in sorted({(c + beside.get(c, c)) / 2 for c in cuts for beside in (before, after)}):
             over = sum(1 << i for i, (v, _) in enumerate(rows) if v[k] > cut)
             under = ((1 << len(rows)) - 1) & ~over
             terms += [(Term(name, True, cut), over), (Term(name, False, cut), under)]

@@ -11,6 +11,7 @@ first in order wins; other columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from random import Random
 
 import numpy as np
 import pandas as pd
@@ -28,20 +29,17 @@ _SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io
 
 
 def seed() -> list[tuple[str, int]]:
-    """The small labelled URL table: (url, 1 to block or 0 to keep)."""
-    rows = []
-    tops, subs, tails = ("com", "net", "org", "info"), ("", "www.", "m.", "blog."), ("/en/12", "/de/345?page=2", "/fr/678.html", "/es/9#top", "/", "/article/2019/05/item", "/index.html")
-    for i, w in enumerate(_BAD):
-        for k in range(4):
-            rows.append((f"http://{subs[(i + k) % 4]}{w}{('', '24', '-best', 's')[k] if k else ''}.{('example.', '')[k % 2]}{tops[(i * 3 + k) % 4]}{tails[(i + 3 * k) % 7]}", 1))
-        rows.append((f"http://www.{_SYLLABLES[i % 30]}{_SYLLABLES[(i * 7) % 30]}.example.{tops[i % 4]}/{w}/buy-now", 1))
-    for i, w in enumerate(_GOOD):
-        for k in range(3):
-            rows.append((f"https://{subs[(i + k) % 4]}{w}{('', '-online', 'hub')[k]}.{('example.', '')[k % 2]}{tops[(i * 3 + k) % 4]}{tails[(i + 3 * k) % 7]}", 0))
-    for i in range(160):
-        name = "".join(_SYLLABLES[(i * (3 + 4 * j) + 11 * j) % 30] for j in range(2 + i % 3))
-        rows.append((f"http{'s' * (i % 2)}://{subs[i % 4]}{name}.example.{tops[i % 3]}{tails[i % 7]}", 0))
-    return rows
+    """The small labelled URL table: (url, 1 to block or 0 to keep). Both classes share all that isn't the name itself."""
+    draw = Random(11)
+    tops, subs, hosts, ends = ("com", "net", "org", "info"), ("", "www.", "m.", "blog."), ("", "example."), ("", "", "s", "24", "-online", "hub", "-best")
+    tails = ("/en/12", "/de/345?page=2", "/fr/678.html", "/es/9#top", "/", "/article/2019/05/item", "/index.html", "/en/7/", "/de/8", "/fr/77", "/es/6.html", "")
+
+    def url(name: str) -> str:
+        return f"http{draw.choice(('', 's'))}://{draw.choice(subs)}{name}{draw.choice(ends)}.{draw.choice(hosts)}{draw.choice(tops)}{draw.choice(tails)}"
+
+    made_up = ["".join(draw.choice(_SYLLABLES) for _ in range(draw.randint(2, 4))) for _ in range(300)]
+    rows = [(url(w), 1) for w in _BAD for _ in range(6)] + [(url(w), 0) for w in _GOOD for _ in range(4)] + [(url(w), 0) for w in made_up]
+    return rows + [(f"http://www.{made_up[i]}.example.{tops[i % 4]}/{w}/buy-now", 1) for i, w in enumerate(_BAD)]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
