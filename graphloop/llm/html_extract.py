@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from graphloop.llm.common import materialise, prepare
 from graphloop.llm.url_filter import parts
 
-LEAST, MIN_PAGES, CONTENT_SHARE = 0.2, 4, 0.9
+LEAST, MIN_PAGES, CONTENT_SHARE, SALTS = 0.2, 4, 0.9, 32
 
 _TAG = re.compile(
     r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,8192}"|'[^']{0,8192}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)""",
@@ -255,7 +255,10 @@ def extract(pages: DataFrame, ident: str = "page_id", url: str = "url", html: st
     """Rows of ``ident``, ``url``, text and n_chars."""
     parsed = materialise(parse(pages, ident, url, html), "pages")
     low = importance(parsed).filter((F.col("pages") >= min_pages) & (F.col("importance") < least)).select("host", "node")
-    removed = parsed.select("row", "host", F.explode("nodes.node").alias("node")).join(low, ["host", "node"]).groupBy("row").agg(F.collect_set("node").alias("removed"))
+    # A node of a large host is dealt over SALTS tasks by the page; the removed nodes are repeated for each.
+    salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    nodes = parsed.select("row", "host", F.explode("nodes.node").alias("node"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    removed = nodes.join(salted, ["host", "node", "salt"]).groupBy("row").agg(F.collect_set("node").alias("removed"))
 
     @F.pandas_udf("string")
     def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
