@@ -22,14 +22,28 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """Writes ``df`` as Parquet and reads it again with the same schema."""
+    """Writes ``df`` as Parquet and reads it again with the same schema; ``release`` deletes it."""
     spark = df.sparkSession
     path = path or new_path(spark, label)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table that ``materialise`` wrote for ``df``; nothing derived from it can be read afterwards."""
+    path = getattr(df, "_scratch_path", None)
+    if path:
+        remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table through the file system that holds it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes every scratch table in the shared folder, for the end of a session."""
+    remove(spark, f"{shared_dir(spark)}/tables")

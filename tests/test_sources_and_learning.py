@@ -142,3 +142,23 @@ def test_relational(spark):
     assert global_aggregate(a, n=F.count("*"))["n"] == 20
     v = spark.createDataFrame([(1, True)], "id bigint, halted boolean")
     assert termination_vote(v, a.limit(0)) and not termination_vote(v, a)
+
+
+def test_command_line(spark, tmp_path):
+    from graphloop import cli
+
+    (tmp_path / "in.txt").write_text("1 2\n2 3\n3\n")
+    cli.main(["shortest-paths", str(tmp_path / "in.txt"), str(tmp_path / "out"), "--source", "1", "--single"])
+    assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["1\t0.0", "2\t1.0", "3\t2.0"]
+    cli.main(["triangles", str(tmp_path / "in.txt"), str(tmp_path / "t"), "--format", "parquet"])
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+
+def test_scratch_tables_can_be_released(spark):
+    from graphloop.scratch import materialise, release
+
+    df = materialise(spark.range(3), "test")
+    assert df.count() == 3
+    release(df)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(df._scratch_path).count()
