@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloop.scratch import materialise, release, shared_dir
+
+__all__ = ["ascii_lower", "materialise", "prepare", "release", "shared_dir", "table", "uniform"]
 #: Rows per Arrow batch. Texts can be long, so a batch is kept small; this bounds a Python worker's memory.
 BATCH_ROWS = 256
 #: ASCII white space, the only separators of words in the contracts of several operators.
@@ -31,23 +32,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="graphloop-")
-        shared_dir.own = base
-    return base
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, LOWER)
