@@ -54,18 +54,24 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return words_of("".join(sentences[:-1])), words_of(sentences[-1])
 
 
-def parts_of(text: str) -> tuple[set[bytes], set[bytes]]:
-    """Shingles of the question and of the answer; an answer under a shingle's length takes in words before it."""
+def parts_of(text: str) -> list[tuple[int, set[bytes]]]:
+    """(shingle length, shingles) of the question and of the answer.
+
+    A part under ``SHINGLE`` words takes in the words beside it; an item under ``SHINGLE`` words is compared as one shingle
+    of its own length.
+    """
     question, answer = question_and_answer(text)
+    whole = question + answer
+    if len(question) < SHINGLE:
+        question = whole[:SHINGLE]
     if answer and len(answer) < SHINGLE:
-        answer = (question + answer)[-SHINGLE:]
-    return shingles(question), shingles(answer)
+        answer = whole[-SHINGLE:]
+    return [(n := min(SHINGLE, len(part)), shingles(part, n)) for part in (question, answer)]
 
 
-def shingles(words: list[bytes]) -> set[bytes]:
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+def shingles(words: list[bytes], n: int = SHINGLE) -> set[bytes]:
+    """The distinct runs of ``n`` words; none of no words."""
+    return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
 class Index:
@@ -149,14 +155,16 @@ class Index:
         best: dict[int, tuple[float, float, float, int]] = {}
         rows, blocks = np.nonzero(bounds >= threshold - 1e-6)
         ends = np.append(starts[1:], len(term))
-        held: tuple[int, set[bytes]] = (-1, set())
+        held: tuple[int, dict[int, set[bytes]]] = (-1, {})
         for r, block in zip(rows.tolist(), blocks.tolist(), strict=True):
             start = int(passage[starts[r]]) * self.half
             for d, score in self.search(term[starts[r] : ends[r]].tolist(), block, threshold):
                 if held[0] != start:
-                    held = start, shingles(words[start : start + 2 * self.half])
-                q, a = self.parts[d]
-                share = [len(x & held[1]) / len(x) if x else 1.0 for x in (q, a)]
+                    held = start, {}
+                for n, _ in self.parts[d]:
+                    if n not in held[1]:
+                        held[1][n] = shingles(words[start : start + 2 * self.half], n)
+                share = [len(x & held[1][n]) / len(x) if x else 1.0 for n, x in self.parts[d]]
                 if share[0] >= question and share[1] >= answer:
                     mine = (score, share[0], share[1], start)
                     if d not in best or mine[:3] > best[d][:3]:

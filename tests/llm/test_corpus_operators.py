@@ -206,3 +206,11 @@ def test_extract_of_nulls_and_no_rows(spark):
     df = spark.createDataFrame([(None, None, None), (1, "x", ""), (1, "x", "<p>a"), (1, "x", "<p>a")], "page_id bigint, url string, html string")
     assert sorted(r["text"] for r in rows(html_extract.extract(df))) == ["", "", "a", "a"]
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("item", ["Who ran? The tall man from the north ran there.", "Short question here? Yes.", "Only four words here", "One. Two three four five six seven. Eight."])
+def test_items_with_short_parts_are_found(item):
+    index = decontam.Index([(1, item), (2, "Quite another thing, told in other terms. And it ends so.")])
+    around = "some words before it all and then more"
+    assert [m[0] for m in index.match(f"{around} {item} {around}")] == [1]
+    assert index.match(f"{around} {around}") == []
