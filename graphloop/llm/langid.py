@@ -12,7 +12,6 @@ results; an empty table gives an empty result; other columns of the input are ig
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,13 +27,12 @@ SAMPLE, COLUMNS_LOG2, MAX_LANGUAGES, CHUNK = 3000, 12, 128, 1 << 20
 ORDERS = (2, 3, 4)
 #: A text is ambiguous when the second language's probability is over this share of the first's.
 AMBIGUOUS = 0.8
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def counts(text: str) -> np.ndarray:
-    """Counts of hashed byte n-grams of the whole text; ASCII is lower-cased, what is no letter there is a space."""
-    raw = b" " + text.encode("utf-8", "surrogatepass").translate(_FOLD) + b" "
+    """Counts of hashed byte n-grams of the whole text; ASCII is lower-cased, a run of what is no letter there is one space."""
+    raw = b" " + b" ".join(text.encode("utf-8", "surrogatepass").translate(_FOLD).split()) + b" "
     out = np.zeros(1 << COLUMNS_LOG2, np.int64)
     shift, edge = np.uint32(32 - COLUMNS_LOG2), max(ORDERS) - 1
     for at in range(0, len(raw), CHUNK):
@@ -148,7 +146,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[Column |
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            known = [bool(model.languages and t and _LETTER.search(t)) for t in texts]
+            known = [bool(model.languages and t and any(map(str.isalpha, t))) for t in texts]
             lang, score, second = np.array(["und"] * len(known), object), np.zeros(len(known)), np.zeros(len(known))
             if any(known):
                 best, p, q = model.decode(np.array([feature(t) for t, k in zip(texts, known, strict=True) if k]))
