@@ -23,7 +23,7 @@ from graphloop.llm.common import ascii_lower, prepare
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 BITS, SIZES, MAX_LABELLED = 16, (3, 4, 5), 100_000
 
-_BAD = "casino poker slots jackpot betting bets free-bets casino-win cheap-pills pills viagra pharma-deals payday loans quick-cash adult adult-x xxx porn sexcams escort ads ads-track adserver tracker click-farm spam spam-farm link-farm doorway seo-links warez crack keygen torrents replica-watches crypto-doubler lottery win-prize diet-miracle hookup".split()
+_BAD = "casino poker slots jackpot betting bets freebies cheap winner pills viagra pharma-deals payday loans quick-cash adult xxx porn sexcams escort ads adserver tracker click-farm spam link-farm doorway seo-links warez crack keygen torrents replica-watches crypto-doubler lottery win-prize diet-miracle hookup".split()
 _GOOD = "news library museum school university recipes gardens weather city council history science journal music travel wiki docs forum books hospital theatre river mountain kitchen parents teachers archive maps sports letters poetry farmers market health clinic bakery railway astronomy biology".split()
 _SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
 
