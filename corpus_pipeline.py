@@ -13,6 +13,10 @@ from graphloop.llm import decontam, langid, line_dedup, mixing, simhash
 from graphloop.llm.common import SPACES, materialise, prepare, release, table
 
 
+#: Jaccard similarity of five-word shingles from which two texts are near copies.
+SIMILARITY = 0.8
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those where two languages come out alike, go."""
     model = langid.learn(docs)
@@ -21,8 +25,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least identifier stays."""
-    copies = simhash.near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
+    """Of each group of near copies the document with the least identifier stays.
+
+    Copies are what fingerprints within two bits link, and texts whose five-word shingles are alike by ``SIMILARITY``.
+    """
+    copies = simhash.near_duplicates(docs, similarity=SIMILARITY).filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
     return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
 
 

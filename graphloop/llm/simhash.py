@@ -8,6 +8,13 @@ fingerprints whatever the corpus. There the positional bytes that two fingerprin
 minimum dropped, and the rest verified bit by bit. A crowded posting is probed by the bits that may differ (136 lookups an
 entry) instead of pair by pair.
 
+Two bits reach copies that differ in case, spacing or a word of a long text. A text with a few words edited differs in some
+seven bits of 64, and no count of shared bytes is guaranteed there. ``near_duplicates`` therefore takes a ``similarity`` as
+well, for callers who want texts linked by the Jaccard similarity of their five-word shingles: bands of least hashes propose
+pairs, and every pair is verified on the whole shingle sets (``near_copies``). In a band's bucket all members are compared
+with its least and its greatest one; those that are like neither are compared among themselves in the next round, until
+none is left, so no bucket is compared pair by pair.
+
 Only distinct fingerprints are indexed, each standing for all documents that have it. Defined cases: a text that is null,
 empty or without words has fingerprint zero, linked like any other; fewer than three words are one shingle; a null
 identifier keeps its fingerprint and gets the component of its class; repeated rows give repeated results; an empty table
@@ -25,32 +32,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloop.llm.common import materialise, prepare
+from graphloop.llm.common import materialise, prepare, release
 from graphloop.llm.components import components
 
 SHINGLE, SEED, MAX_BITS, POSITIONS = 3, 42, 2, 8
 #: Hashes counted at once, and the posting size from which entries are probed instead of compared.
 CHUNK, PROBE_FROM = 1 << 15, 64
+#: For ``near_copies``: words of a shingle, bands and least hashes of a band. A pair at 0.8 meets in a band but once in 13,000.
+WIDE, BANDS, BAND_ROWS = 5, 24, 5
 CHOICES = list(combinations(range(POSITIONS), POSITIONS - MAX_BITS))
 
 
-def fingerprint(text: str | None) -> int:
-    """64 bits; each is 1 if set in over half the shingles' hashes."""
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def _hashes(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 of every run of ``size`` words, repeats included; of the whole sequence where it is shorter."""
     from xxhash import xxh64_intdigest
 
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
+    return np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+
+
+def _majority(words: list[bytes]) -> int:
+    if not words:
         return 0
-    n = max(1, len(w) - SHINGLE + 1)
+    n = max(1, len(words) - SHINGLE + 1)
     total = np.zeros(64, np.int64)
     for at in range(0, n, CHUNK):
-        part = w[at : at + CHUNK + SHINGLE - 1]
-        shingles = map(b" ".join, zip(*(part[k:] for k in range(SHINGLE)), strict=False)) if len(w) >= SHINGLE else [b" ".join(w)]
-        h = np.fromiter((xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
+        h = _hashes(words[at : at + CHUNK + SHINGLE - 1] if n > 1 else words, SHINGLE)
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None) -> int:
+    """64 bits; each is 1 if set in over half the shingles' hashes."""
+    return _majority(_words(text))
+
+
 def fingerprints(df: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """Rows of ``ident`` and fp, the fingerprint as a signed 64-bit number."""
     prepare(df.sparkSession)
@@ -63,6 +83,113 @@ def fingerprints(df: DataFrame, text: str = "text", ident: str = "doc_id") -> Da
     return df.select(F.col(ident), fp(F.coalesce(F.col(text), F.lit(""))).alias("fp"))
 
 
+def shingle_set(words: list[bytes]) -> np.ndarray:
+    """The distinct hashes of the runs of ``WIDE`` words, made from one hash a word; sorted. Of no words: none."""
+    from xxhash import xxh64_intdigest
+
+    if not words:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    size = min(WIDE, len(w))
+    n = len(w) - size + 1
+    h = w[:n]
+    for k in range(1, size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + n]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(h ^ (h >> np.uint64(32)))
+
+
+def bands_of(shingles: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band: the band's number and its least hashes."""
+    from xxhash import xxh64_intdigest
+
+    rng = np.random.default_rng(SEED)
+    mask, odd = rng.integers(0, 1 << 32, (2, BANDS * BAND_ROWS), np.uint32)
+    odd |= np.uint32(1)
+    low = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
+    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(low), 2048):
+        mixed = low[at : at + 2048, None] ^ mask
+        mixed *= odd
+        least = np.minimum(least, mixed.min(0))
+    return np.array([xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
+
+
+def sketches(df: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """Rows of ``ident`` and fp, and of the set of five-word shingles: digest and bands (none of no words)."""
+    prepare(df.sparkSession)
+
+    @F.pandas_udf("fp long, digest long, bands array<long>")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh64_intdigest
+
+        for texts in batches:
+            rows = []
+            for t in texts:
+                words = _words(t)
+                wide = shingle_set(words)
+                keys = bands_of(wide) if words else wide
+                rows.append((*np.array([_majority(words), xxh64_intdigest(wide.tobytes())], np.uint64).view(np.int64).tolist(), keys.view(np.int64).tolist()))
+            yield pd.DataFrame(rows, columns=["fp", "digest", "bands"])
+
+    return df.select(F.col(ident), sketch(F.coalesce(F.col(text), F.lit(""))).alias("_s")).select(ident, "_s.*")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, fa, b, fb) whose shingle sets have at least that Jaccard similarity."""
+
+    @F.pandas_udf("boolean")
+    def reached(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            out = []
+            for x, y in zip(left, right, strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pd.Series(out, dtype=bool)
+
+    one, two = (sets.select(F.col("id").alias(f"_{k}"), F.col("wide").alias(f"_w{k}")) for k in "ab")
+    both = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
+    return both.filter(reached("_wa", "_wb")).select("a", "fa", "b", "fb").distinct()
+
+
+def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str = "text", ident: str = "doc_id") -> list[DataFrame]:
+    """Tables of links (a, fa, b, fb) between documents with their fingerprints, each verified at ``similarity`` or more.
+
+    sketched: ``sketches`` of ``df``. Rows of one fingerprint and one shingle set are told by their least identifier; rows
+    without an identifier or words take no part.
+    """
+    same = sketched.filter(F.col(ident).isNotNull() & (F.size("bands") > 0)).groupBy("fp", "digest").agg(F.min(ident).alias("id"), F.first("bands").alias("bands"))
+    entries = same.select("id", "fp", F.explode("bands").alias("key"))
+    leaders = lambda rows: rows.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("lo"), F.max(F.struct("id", "fp")).alias("hi")).filter("lo <> hi").withColumnRenamed("key", "_key")
+    left = materialise(entries.join(leaders(entries), F.col("key") == F.col("_key")).drop("_key"), "buckets")
+
+    @F.pandas_udf("binary")
+    def wide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(_words(t)).tobytes() for t in texts])
+
+    few = left.select(F.col("id").alias("_id")).distinct()
+    chosen = df.select(F.col(ident).alias("id"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull()).join(few, F.col("id") == F.col("_id"), "left_semi")
+    sets = materialise(chosen.select("id", wide("_t").alias("wide")), "shingles")
+    found = []
+    while not left.isEmpty():
+        pairs = left.select(F.col("lo.id").alias("a"), F.col("lo.fp").alias("fa"), F.col("id").alias("b"), F.col("fp").alias("fb"))
+        pairs = pairs.union(left.select("hi.id", "hi.fp", "id", "fp")).filter("a <> b or fa <> fb").distinct()
+        linked = materialise(_alike(pairs, sets, similarity), "links")
+        found.append(linked)
+        # A row goes on unless it led its bucket or is like one that did.
+        open_ = left.filter(~((F.col("id") == F.col("lo.id")) & (F.col("fp") == F.col("lo.fp"))) & ~((F.col("id") == F.col("hi.id")) & (F.col("fp") == F.col("hi.fp"))))
+        for side in ("lo", "hi"):
+            lead, of = F.struct("a", "fa"), F.struct("b", "fb")
+            open_ = open_.join(linked.select(lead.alias("_lead"), of.alias("_of")), (F.col(side) == F.col("_lead")) & (F.struct("id", "fp") == F.col("_of")), "left_anti")
+        open_ = open_.select("id", "fp", "key")
+        before, left = left, materialise(open_.join(leaders(open_), F.col("key") == F.col("_key")).drop("_key"), "buckets")
+        release(before)
+    release(sets)
+    return found
+
+
 def _linked(entries: np.ndarray, free: np.ndarray) -> list[tuple[int, int]]:
     """Links of one posting. entries: distinct fingerprints, sorted; free: the bits of the bytes that may differ."""
     out: list[tuple[int, int]] = []
@@ -106,11 +233,16 @@ def links(distinct: DataFrame) -> DataFrame:
     return postings.mapInArrow(tally, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """Rows of ``ident``, fingerprint (16 hexadecimal digits) and component_id, the least identifier that links reach."""
-    fps = materialise(fingerprints(df, text, ident), "fingerprints")
+def near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id", similarity: float | None = None) -> DataFrame:
+    """Rows of ``ident``, fingerprint (16 hexadecimal digits) and component_id, the least identifier that links reach.
+
+    Fingerprints link at ``MAX_BITS`` bits or fewer; with ``similarity``, texts of that similarity link as well.
+    """
+    fps = materialise(fingerprints(df, text, ident) if similarity is None else sketches(df, text, ident), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min(ident).alias("least"))
     pairs = links(classes.select("fp"))
+    for more in near_copies(df, fps, similarity, text, ident) if similarity is not None else []:
+        pairs = pairs.union(more.select("fa", "fb").filter("fa <> fb"))
     # Links between classes are told by the classes' least identifiers; a class of null identifiers alone takes part by none.
     of = classes.filter("least is not null")
     named = pairs.join(of.select(F.col("fp").alias("a"), F.col("least").alias("la")), "a").join(of.select(F.col("fp").alias("b"), F.col("least").alias("lb")), "b")

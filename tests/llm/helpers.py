@@ -33,7 +33,21 @@ def simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def components(ids_and_prints, bits=2):
+def alike(texts, similarity, size=5):
+    """All pairs of identifiers whose sets of word shingles have that Jaccard similarity or more; texts: by identifier."""
+    sets, holders, out = {}, defaultdict(list), []
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+        for s in sets[i]:
+            holders[s].append(i)
+    for i, own in sets.items():
+        shared = Counter(j for s in own for j in holders[s] if j > i)
+        out += [(i, j) for j, n in shared.items() if n >= similarity * (len(own) + len(sets[j]) - n) - 1e-9]
+    return out
+
+
+def components(ids_and_prints, bits=2, alike=()):
     by = defaultdict(list)
     for i, f in ids_and_prints:
         by[f].append(i)
@@ -49,6 +63,9 @@ def components(ids_and_prints, bits=2):
         for b in prints[k + 1 :]:
             if (a ^ b).bit_count() <= bits:
                 parent[find(a)] = find(b)
+    own = dict(ids_and_prints)
+    for i, j in alike:
+        parent[find(own[i])] = find(own[j])
     least = {}
     for f in prints:
         r = find(f)

@@ -3,7 +3,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from helpers import AWKWARD, DOCS, components, docs_table, repeats, simhash
+from helpers import AWKWARD, DOCS, alike, components, docs_table, repeats, simhash
 from pyspark.sql import functions as F
 
 from graphloop.llm import components as cc
@@ -37,6 +37,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert len(set(want.values())) < len(want) - 30
 
 
+def test_similar_texts_equal_brute_force(spark):
+    rng = random.Random(5)
+    texts = [(i, words(rng, rng.randint(1, 150), 4000)) for i in range(60)]
+    for k in range(100, 190):  # edited copies, some of them near the limit on either side
+        w = words(random.Random(k % 9), 150, 4000).split()
+        for _ in range(rng.choice((0, 1, 1, 2, 2, 3, 8))):
+            w[rng.randrange(len(w))] = f"c{k}"
+        texts.append((k, " ".join(w)))
+    half = words(random.Random(77), 120, 4000)  # a passage that many texts share
+    texts += [(300 + k, f"{half} {words(rng, 40, 4000)}") for k in range(30)]
+    texts += [(1000 + (i or 0), t) for i, t in AWKWARD if i != 7]
+    got = rows(sh.near_duplicates(docs_table(spark, texts, extra=True), similarity=0.8))
+    want = components([(i, simhash(t)) for i, t in texts], alike=alike(dict(texts), 0.8))
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert len(got) == len(texts) and len(set(want.values())) < len(texts) - 50
+
+
 def test_crowded_postings_lose_no_link(spark):
     rng = random.Random(8)
     base = rng.getrandbits(64)
@@ -54,6 +71,13 @@ def test_near_duplicates_of_repeated_and_no_rows(spark):
     assert sh.near_duplicates(docs_table(spark, [])).count() == 0
 
 
+def test_similar_texts_of_odd_and_no_rows(spark):
+    df = docs_table(spark, [*AWKWARD, *AWKWARD, (9, "SAME text here for all of them to see. Again and again.")])
+    got = rows(sh.near_duplicates(df, similarity=0.8))
+    assert len(got) == 2 * len(AWKWARD) + 1 and {r["component_id"] for r in got if r["doc_id"] in (6, 7, 9)} == {6}
+    assert sh.near_duplicates(df.limit(0), similarity=0.8).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5), (None, 3)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in rows(cc.components(links))}

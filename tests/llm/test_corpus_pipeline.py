@@ -3,7 +3,7 @@ import os
 
 import duckdb
 import pytest
-from helpers import components, repeats, simhash
+from helpers import alike, components, repeats, simhash
 
 import __spark_entry__
 
@@ -44,7 +44,7 @@ def test_pipeline_stages_against_brute_force(spark):
     raw = {r["doc_id"]: r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     first = kept["language_id"]
     assert all(any(c.isalpha() for c in r["text"]) for r in first.values()) and len(first) >= 0.97 * len(raw)
-    want = components([(i, simhash(r["text"])) for i, r in sorted(first.items())])
+    want = components([(i, simhash(r["text"])) for i, r in sorted(first.items())], alike=alike({i: r["text"] for i, r in first.items()}, corpus_pipeline.SIMILARITY))
     assert set(kept["near_dedup"]) == {i for i, c in want.items() if i == c}
     spans = repeats([(i, r["text"]) for i, r in sorted(kept["near_dedup"].items())], line_dedup.MIN_WORDS)
     cut = {i: line_dedup.cut(r["text"], [{"start": s, "end": e} for s, e in spans.get(i, [])]) for i, r in kept["near_dedup"].items()}
