@@ -10,11 +10,12 @@ entry) instead of pair by pair.
 
 Two bits reach copies that differ in case, spacing or a word of a long text. A text with a few words edited differs in some
 seven bits of 64, and no count of shared bytes is guaranteed there. ``near_duplicates`` therefore takes a ``similarity`` as
-well, for callers who want texts linked by the Jaccard similarity of their five-word shingles: bands of least hashes propose
-pairs, and every pair is verified on the whole shingle sets (``near_copies``). In a band's bucket all members are compared
-with its least and its greatest one. Texts that are like no leader go on to a next round with new leaders, until a round
-finds no link, so no bucket is compared pair by pair. A link between two texts is missed where neither ever leads a bucket
-that they share, or where the rounds end before one of them does; the README has measured figures.
+well, for callers who want texts linked by the Jaccard similarity of their five-word shingles (``near_copies``). That search
+is exact: a prefix-filter join. With the shingles of all texts in one order, two texts of that similarity share a shingle
+among the first of both, however the rest differs; every pair that meets so, and whose sizes and places allow the
+similarity, is verified on the whole shingle sets, except where both are in one component already, which a further link
+can't change. Rounds with the least and the greatest member of each posting come first, so that large groups are one
+component before the pairs that are left are made; these rounds save work and decide nothing.
 
 Only distinct fingerprints are indexed, each standing for all documents that have it. Defined cases: a text that is null,
 empty or without words has fingerprint zero, linked like any other; fewer than three words are one shingle; a null
@@ -24,13 +25,14 @@ gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloop.llm.common import materialise, prepare, release
@@ -39,8 +41,9 @@ from graphloop.llm.components import components
 SHINGLE, SEED, MAX_BITS, POSITIONS = 3, 42, 2, 8
 #: Hashes counted at once, and the posting size from which entries are probed instead of compared.
 CHUNK, PROBE_FROM = 1 << 15, 64
-#: For ``near_copies``: words of a shingle, bands and least hashes of a band. A pair at 0.8 meets in a band but once in 13,000.
-WIDE, BANDS, BAND_ROWS = 5, 24, 5
+#: For ``near_copies``: words of a shingle; texts whose shingles are counted for the order, and the most shingles that it
+#: tells apart; rounds with leaders. All but the first are a matter of speed alone.
+WIDE, COUNTED, TOLD, ROUNDS = 5, 20_000, 500_000, 2
 CHOICES = list(combinations(range(POSITIONS), POSITIONS - MAX_BITS))
 
 
@@ -100,44 +103,67 @@ def shingle_set(words: list[bytes]) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
-def bands_of(shingles: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band: the band's number and its least hashes."""
-    from xxhash import xxh64_intdigest
-
-    rng = np.random.default_rng(SEED)
-    mask, odd = rng.integers(0, 1 << 32, (2, BANDS * BAND_ROWS), np.uint32)
-    odd |= np.uint32(1)
-    low = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
-    least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(low), 2048):
-        mixed = low[at : at + 2048, None] ^ mask
-        mixed *= odd
-        least = np.minimum(least, mixed.min(0))
-    return np.array([xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
+def prefix_length(n: int, similarity: float) -> int:
+    """How many of the first of ``n`` shingles two texts of that similarity can't all differ in."""
+    return n - max(1, math.ceil(similarity * n - 1e-6)) + 1
 
 
 def sketches(df: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """Rows of ``ident`` and fp, and of the set of five-word shingles: digest and bands (none of no words)."""
+    """Rows of ``ident`` and fp, and of the set of five-word shingles: digest and size (0: no words)."""
     prepare(df.sparkSession)
 
-    @F.pandas_udf("fp long, digest long, bands array<long>")
+    @F.pandas_udf("fp long, digest long, size int")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh64_intdigest
-
         for texts in batches:
             rows = []
             for t in texts:
                 words = _words(t)
                 wide = shingle_set(words)
-                keys = bands_of(wide) if words else wide
-                rows.append((*np.array([_majority(words), xxh64_intdigest(wide.tobytes())], np.uint64).view(np.int64).tolist(), keys.view(np.int64).tolist()))
-            yield pd.DataFrame(rows, columns=["fp", "digest", "bands"])
+                rows.append((*np.array([_majority(words), _digest(wide)], np.uint64).view(np.int64).tolist(), len(wide)))
+            yield pd.DataFrame(rows, columns=["fp", "digest", "size"])
 
     return df.select(F.col(ident), sketch(F.coalesce(F.col(text), F.lit(""))).alias("_s")).select(ident, "_s.*")
 
 
+def _digest(shingles: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(shingles.tobytes())
+
+
+def _sets(texts: DataFrame, row, fields: str) -> DataFrame:
+    """``row(digest, set)`` gives columns for each text (column _t); fields: their names and types."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                wide = shingle_set(_words(t.as_py()))
+                yield row(np.uint64(_digest(wide)).astype(np.int64), wide)
+
+    return texts.select("_t").mapInArrow(made, fields)
+
+
+def _common(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sample of ``n`` texts, sorted, with their counts; at most ``TOLD``."""
+    share = max(1, -(-n // COUNTED))
+    counted = texts.filter(F.pmod(F.xxhash64("_i"), F.lit(share)) == 0)
+    each = _sets(counted, lambda _, wide: pa.RecordBatch.from_arrays([pa.array(wide.view(np.int64))], ["key"]), "key long")
+    counts = materialise(each.groupBy("key").count().filter("count > 3"), "counts")
+    least, left = 4, TOLD
+    for r in sorted(counts.groupBy(F.least("count", F.lit(100_000)).alias("c")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["c"]):
+        left -= r["k"]
+        if left < 0:
+            least = r["c"] + 1
+            break
+    found = counts.filter(F.col("count") >= least).toArrow()
+    release(counts)
+    keys, times = found["key"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], times[order]
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, fa, b, fb) whose shingle sets have at least that Jaccard similarity."""
+    """The pairs (a, b) of digests whose shingle sets have at least that Jaccard similarity."""
 
     @F.pandas_udf("boolean")
     def reached(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -149,43 +175,75 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 out.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
             yield pd.Series(out, dtype=bool)
 
-    one, two = (sets.select(F.col("id").alias(f"_{k}"), F.col("wide").alias(f"_w{k}")) for k in "ab")
+    one, two = (sets.select(F.col("digest").alias(f"_{k}"), F.col("wide").alias(f"_w{k}")) for k in "ab")
     both = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
-    return both.filter(reached("_wa", "_wb")).select("a", "fa", "b", "fb").distinct()
+    return both.filter(reached("_wa", "_wb")).select("a", "b").distinct()
 
 
-def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str = "text", ident: str = "doc_id") -> list[DataFrame]:
-    """Tables of links (a, fa, b, fb) between documents with their fingerprints, each verified at ``similarity`` or more.
+def _possible(one: str, two: str, similarity: float) -> Column:
+    """Whether sizes and places of a shared shingle allow that similarity; true for the first that a pair of it shares."""
+    n, m, i, j = F.col(f"{one}.size"), F.col(f"{two}.size"), F.col(f"{one}.place"), F.col(f"{two}.place")
+    return F.least(n - i, m - j) * (1 + similarity) >= (n + m) * similarity - 1e-6
 
-    A text that is like a leader is in a group and needs no further comparison; a round without any link is the last one.
 
-    sketched: ``sketches`` of ``df``. Rows of one fingerprint and one shingle set are told by their least identifier; rows
-    without an identifier or words take no part.
-    """
-    same = sketched.filter(F.col(ident).isNotNull() & (F.size("bands") > 0)).groupBy("fp", "digest").agg(F.min(ident).alias("id"), F.first("bands").alias("bands"))
-    entries = same.select("id", "fp", F.explode("bands").alias("key"))
-    leaders = lambda rows: rows.groupBy("key").agg(F.min(F.struct("id", "fp")).alias("lo"), F.max(F.struct("id", "fp")).alias("hi")).filter("lo <> hi").withColumnRenamed("key", "_key")
-    left = materialise(entries.join(leaders(entries), F.col("key") == F.col("_key")).drop("_key"), "buckets")
+def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str = "text", ident: str = "doc_id") -> list[DataFrame]:
+    """Tables of links (fa, fb) between fingerprints, which join the same fingerprints as all pairs of that similarity.
 
-    @F.pandas_udf("binary")
-    def wide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shingle_set(_words(t)).tobytes() for t in texts])
-
-    few = left.select(F.col("id").alias("_id")).distinct()
-    chosen = df.select(F.col(ident).alias("id"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull()).join(few, F.col("id") == F.col("_id"), "left_semi")
-    sets = materialise(chosen.select("id", wide("_t").alias("wide")), "shingles")
-    found, new = [], 1
-    while new and not left.isEmpty():
-        pairs = left.select(F.col("lo.id").alias("a"), F.col("lo.fp").alias("fa"), F.col("id").alias("b"), F.col("fp").alias("fb"))
-        pairs = pairs.union(left.select("hi.id", "hi.fp", "id", "fp")).filter("a <> b or fa <> fb").distinct()
+    sketched: ``sketches`` of ``df``. A shingle set is told by its digest, and read from the row of its least identifier;
+    rows without an identifier or words take no part.
+    """
+    own = sketched.filter(F.col(ident).isNotNull() & (F.col("size") > 0))
+    chosen = materialise(own.groupBy("digest").agg(F.min(ident).alias("_id"), F.min("fp").alias("f")), "chosen")
+    of = chosen.select(F.col("digest").alias("_d"), "f")
+    # One set of shingles may have several fingerprints.
+    found = [own.select("digest", "fp").distinct().join(of, F.col("digest") == F.col("_d")).select(F.col("fp").alias("fa"), F.col("f").alias("fb"))]
+    texts = df.select(F.col(ident).alias("_i"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull()).join(chosen.select("_id"), F.col("_i") == F.col("_id"), "left_semi")
+    common, times = _common(texts, chosen.count())
+
+    def first(digest: np.int64, wide: np.ndarray) -> pa.RecordBatch:
+        often = np.zeros(len(wide), np.int64)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, wide), len(common) - 1)
+            often = np.where(common[at] == wide, times[at], 0)
+        keys = wide[np.lexsort((wide, often))][: prefix_length(len(wide), similarity)] if len(wide) else wide
+        n = len(keys)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(n, digest)), pa.array(np.full(n, len(wide), np.int32)), pa.array(np.arange(n, dtype=np.int32))], ["key", "digest", "size", "place"])
+
+    postings = materialise(_sets(texts, first, "key long, digest long, size int, place int"), "postings")
+    shared = postings.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select(F.col("key").alias("_key"))
+    left = materialise(postings.join(shared, F.col("key") == F.col("_key"), "left_semi").withColumn("group", F.col("digest")), "buckets")
+    release(postings)
+    few = left.select(F.col("digest").alias("_d")).distinct().join(chosen, F.col("digest") == F.col("_d")).select("_id")
+    some = texts.join(few.withColumnRenamed("_id", "_few"), F.col("_i") == F.col("_few"), "left_semi")
+    sets = _sets(some, lambda digest, wide: pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([wide.tobytes()], pa.binary())], ["digest", "wide"]), "digest long, wide binary")
+    sets = materialise(sets.dropDuplicates(["digest"]), "shingles")
+    member = F.struct("group", "digest", "size", "place")
+    links = None
+    for k in range(ROUNDS + 1):
+        if left.isEmpty():
+            break
+        if k < ROUNDS:
+            leaders = left.groupBy("key").agg(F.min(member).alias("lo"), F.max(member).alias("hi")).withColumnRenamed("key", "_key")
+            led = left.select("key", member.alias("y")).join(leaders, F.col("key") == F.col("_key")).select("y", F.explode(F.array("lo", "hi")).alias("x"))
+        else:
+            x = left.select(F.col("key").alias("_key"), member.alias("x"))
+            led = left.select("key", member.alias("y")).join(x, (F.col("key") == F.col("_key")) & (F.col("x.group") < F.col("y.group")) & _possible("x", "y", similarity)).select("x", "y")
+        met = led.filter((F.col("x.group") != F.col("y.group")) & _possible("x", "y", similarity))
+        pairs = materialise(met.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct(), "pairs")
         linked = materialise(_alike(pairs, sets, similarity), "links")
-        found.append(linked)
-        new = linked.count()
-        is_ = lambda lead: (F.col("id") == F.col(f"{lead}.id")) & (F.col("fp") == F.col(f"{lead}.fp"))
-        open_ = left.filter(~is_("lo") & ~is_("hi")).join(linked.select(F.col("b").alias("_b"), F.col("fb").alias("_fb")).distinct(), (F.col("id") == F.col("_b")) & (F.col("fp") == F.col("_fb")), "left_anti").select("id", "fp", "key")
-        before, left = left, materialise(open_.join(leaders(open_), F.col("key") == F.col("_key")).drop("_key"), "buckets")
+        release(pairs)
+        two = of.select(F.col("_d").alias("_e"), F.col("f").alias("fb"))
+        found.append(linked.join(of, F.col("a") == F.col("_d")).join(two, F.col("b") == F.col("_e")).select(F.col("f").alias("fa"), "fb"))
+        if k == ROUNDS:
+            break
+        links = linked if links is None else links.union(linked)
+        grouped = components(links)
+        moved = left.drop("group").join(grouped, F.col("digest") == F.col("node"), "left").select("key", "digest", "size", "place", F.coalesce("component", "digest").alias("group"))
+        moved = materialise(moved, "moved")
+        mixed = moved.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select(F.col("key").alias("_key"))
+        before, left = left, materialise(moved.join(mixed, F.col("key") == F.col("_key"), "left_semi"), "buckets")
         release(before)
+        release(moved)
     release(sets)
     return found
 
@@ -242,7 +300,7 @@ def near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id", si
     classes = fps.groupBy("fp").agg(F.min(ident).alias("least"))
     pairs = links(classes.select("fp"))
     for more in near_copies(df, fps, similarity, text, ident) if similarity is not None else []:
-        pairs = pairs.union(more.select("fa", "fb").filter("fa <> fb"))
+        pairs = pairs.union(more.filter("fa <> fb"))
     # Links between classes are told by the classes' least identifiers; a class of null identifiers alone takes part by none.
     of = classes.filter("least is not null")
     named = pairs.join(of.select(F.col("fp").alias("a"), F.col("least").alias("la")), "a").join(of.select(F.col("fp").alias("b"), F.col("least").alias("lb")), "b")

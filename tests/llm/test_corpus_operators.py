@@ -54,6 +54,21 @@ def test_similar_texts_equal_brute_force(spark):
     assert len(got) == len(texts) and len(set(want.values())) < len(texts) - 50
 
 
+def test_chains_inside_crowded_buckets_lose_no_link(spark):
+    rng = random.Random(5)
+    base, texts, ids = words(rng, 200, 4000).split(), [], iter(rng.sample(range(5000), 240))
+
+    def edited(w, n):
+        at = rng.randrange(len(w) - n)
+        return [*w[:at], *words(rng, n, 4000).split(), *w[at + n :]]
+
+    for _ in range(120):  # edits of one text, most of them unlike each other, each with a copy that is like it
+        x = edited(base, 10)
+        texts += [(next(ids), " ".join(x)), (next(ids), " ".join(edited(x, 15)))]
+    want = components([(i, simhash(t)) for i, t in texts], alike=alike(dict(texts), 0.8))
+    assert {r["doc_id"]: r["component_id"] for r in rows(sh.near_duplicates(docs_table(spark, texts), similarity=0.8))} == want
+
+
 def test_crowded_postings_lose_no_link(spark):
     rng = random.Random(8)
     base = rng.getrandbits(64)
