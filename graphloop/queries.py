@@ -182,6 +182,12 @@ def bfs_hops_3(spark, sf):
     return bfs_hops(next_part(spark, sf), 1, max_hops=3)
 
 
+@query()
+def bfs_hops_from_1(spark, sf):
+    """To the fixpoint, with no bound on hops."""
+    return bfs_hops(next_part(spark, sf), 1)
+
+
 @query(f"WITH {NEXT}, {_distances(14, '1.0')} SELECT id FROM d14 WHERE v IS NOT NULL")
 def reachable_from_1(spark, sf):
     return reachable(next_part(spark, sf), 1)
