@@ -172,6 +172,12 @@ def shortest_paths_5_hops(spark, sf):
     return shortest_paths(next_part(spark, sf), 1, max_hops=5).vertices.filter(F.col("value") < UNREACHED)
 
 
+@query()
+def shortest_paths_from_1(spark, sf):
+    """To the fixpoint, with no bound on hops."""
+    return shortest_paths(next_part(spark, sf), 1).vertices.filter(F.col("value") < UNREACHED)
+
+
 @query("SELECT k AS id, 50.0::DOUBLE * (k * (k - 1)) AS value FROM range(40) AS r(k)")
 def shortest_paths_ring(spark, sf):
     return shortest_paths(ring(spark, 40), 0).vertices

@@ -68,6 +68,11 @@ def test_hops_from_1_reach_the_fixpoint(spark, far):
     assert got == dijkstra(far[1], 1, unit=True) and max(got.values()) > 3
 
 
+def test_shortest_paths_from_1_reach_the_fixpoint(spark, far):
+    got = {r["id"]: r["value"] for r in own.QUERIES["shortest_paths_from_1"](spark, far[0]).collect()}
+    assert got == dijkstra(far[1], 1) and got[12] == sum(w for _, _, w in far[1][:11])
+
+
 def test_entry_contract(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
