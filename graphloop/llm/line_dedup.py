@@ -1,8 +1,8 @@
 """Substring dedup by hashing units of lines: the earliest ranked occurrence of a unit stays, the others go.
 
 A unit is a sentence of a line: text up to and with a run of full stops, exclamation marks, question marks or line breaks.
-Whole repeated lines and paragraphs are repeated runs of units, and a passage that was pasted into the middle of a line is
-found as well. Units are normalised (lower case, white space as one space, trimmed) and told by 128-bit digests, which are
+A repeated line or paragraph goes as far as its sentences have ``MIN_WORDS`` words; its shorter sentences stay, and so does
+a line of such alone. A passage that was pasted into the middle of a line is found as well. Units are normalised (lower case, white space as one space, trimmed) and told by 128-bit digests, which are
 grouped over the whole corpus with partial aggregation; units under ``MIN_WORDS`` words are left alone. Occurrences are
 ranked by identifier, then by their place in the text. Offsets are code points of the original text.
 
