@@ -2,9 +2,10 @@
 
 A unit is a sentence of a line: text up to and with a run of full stops, exclamation marks, question marks or line breaks.
 A repeated line or paragraph goes as far as its sentences have ``MIN_WORDS`` words; its shorter sentences stay, and so does
-a line of such alone. A passage that was pasted into the middle of a line is found as well. Units are normalised (lower case, white space as one space, trimmed) and told by 128-bit digests, which are
-grouped over the whole corpus with partial aggregation; units under ``MIN_WORDS`` words are left alone. Occurrences are
-ranked by identifier, then by their place in the text. Offsets are code points of the original text.
+a line of such alone. Of a passage in the middle of a line only whole sentences are found, none that begins or ends inside
+another (the README has figures). Units are normalised (lower case, white space as one space, trimmed) and told by 128-bit
+digests, which are grouped over the whole corpus with partial aggregation; units under ``MIN_WORDS`` words are left alone.
+Occurrences are ranked by identifier, then by their place in the text. Offsets are code points of the original text.
 
 Defined cases: a null or empty text has no units; a null identifier ranks first, and its text is not cut (no row could be
 told from another), and rows that repeat an identifier are ranked alike, each losing the same spans; a text that is one
