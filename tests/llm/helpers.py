@@ -110,3 +110,36 @@ def repeats(rows, min_words):
                 m.append((s, e))
         merged[i] = m
     return merged
+
+
+def style_tree(pages, doubt):
+    """(content, presentation) by (host, node) of the host's distinct pages. pages: (host, nodes), nodes as parse_page gives them."""
+    import math
+
+    distinct = defaultdict(set)
+    for host, nodes in pages:
+        distinct[host].add(tuple(nodes))
+
+    def scaled(values):
+        n, h = len(values), 0.0
+        for c in Counter(values).values():
+            h -= c / n * math.log(c / n)
+        return ((h / math.log(n) if n > 1 else 1.0) * n + doubt) / (n + doubt) if n else 1.0
+
+    out = {}
+    for host, own in distinct.items():
+        for node in {n for p in own for n, _, _ in p}:
+            here = [(c, s) for p in own for n, c, s in p if n == node]
+            out[host, node] = scaled([c for c, _ in here if c]), scaled([s for _, s in here])
+    return out
+
+
+def branch_importance(e, elements, blocks, known, share):
+    """(composite importance of element e, the greatest in its branch), by recursion."""
+    parts = [branch_importance(c, elements, blocks, known, share) for c in range(len(elements)) if elements[c][0] == e]
+    content, style = known.get(elements[e][1], (1.0, 1.0))
+    own = [p[0] for p in parts] + ([content] if any(b[0] == e for b in blocks) else [])
+    mean = sum(own) / len(own) if own else 1.0
+    k = share ** len(parts)
+    at = (1 - k) * style + k * mean if parts else mean
+    return at, max([at, *(p[1] for p in parts)])

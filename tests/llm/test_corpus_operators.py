@@ -231,14 +231,76 @@ def test_style_tree_drops_what_a_host_repeats(spark):
     assert {r["text"] for r in rows(html_extract.extract(same))} == {"all the same"}
 
 
+def text_of(html, known=None):
+    elements, blocks, _ = html_extract.parse_page(html)
+    return "\n".join(html_extract.select(elements, blocks, known or {}))
+
+
 @pytest.mark.parametrize(
     ("html", "want"),
     [
         (None, ""), ("", ""), ("<p></p>", ""), ("just text", "just text"), ("<script>x", ""), ("<!-- never closed <p>a</p>", ""), ("a<b", "a<b"), ("<p>1 &lt; 2 &#8364;&nbsp;x", "1 < 2 € x"), ("<ul><li>a<li>b</ul>c", "a\nb\nc"), ("<p a='>'>x</p>", "x"), ("<p a=\"unclosed>x</p>", "x"), ("<div hidden>no</div><p>yes", "yes"), ("<table><tr><td>1<td>2</table>", "1\n2"), ("<p>x</p>" * 3, "x\nx\nx"), ("<b>" * 5000 + "deep", "deep"),
+        ('<p><img alt="a>b' + "x" * 9000 + '">text</p>', "text"), ("<head><title>t</title><p>text", "text"), ("<!-->a", "a"), ("<!DOCTYPE html", ""), ("<main><p>x y</p><aside>no</aside></main><p>out</p>", "x y"), ("<article>" + "<i>" * 30 + "a" + "</b>" * 30, "a"),
     ],
 )
 def test_odd_pages(html, want):
-    assert "\n".join(t for _, _, t in html_extract.blocks_of(html)) == want
+    assert text_of(html) == want
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "ad-free", "theme-dark comments-enabled", "sidebar", "widget promo"])
+def test_an_article_stays_whatever_stands_around_it(name):
+    assert text_of(f'<div class="{name}"><div><article><p>All of it</p></article></div></div><div class="ad">Buy</div>') == "All of it"
+
+
+def test_what_is_the_article():
+    story = "word " * 59 + "word"
+    assert text_of(f'<div class="content"><p>{story}</p></div><article><p>Teaser</p></article>') == story
+    comments = '<section class="comments"><article><p>Me too</p></article></section>'
+    assert text_of(f"<article><p>A story is here.</p></article>{comments}") == "A story is here."
+    assert text_of(f'<div class="content"><p>A story is here.</p></div>{comments}') == "A story is here."
+    assert text_of("<article><p>One</p></article><div class='related-posts'>Two</div><article><p>Three</p></article>") == "One\nThree"
+
+
+@pytest.mark.parametrize("page", ["<b>{}</i>", "<b>{}x<hr>", "<div>{}</b>", "<b<{}", "<a ='>{}", '<i><div>{}<b>{}</i>', "<p><b>{}", "<table><tr><td>{}x", '<a x="{}', "<a href={}>", "<!{}", "<div>{}x"])
+def test_parsing_is_linear(page):
+    import time
+
+    def took(n):
+        parts = page.split("{}")
+        html = "".join(p * n for p in parts)
+        best = 1e9
+        for _ in range(2):
+            at = time.perf_counter()
+            text_of(html)
+            best = min(best, time.perf_counter() - at)
+        return best
+
+    assert took(24_000) < 16 * took(4000) + 0.05  # six times as long; a quadratic one takes 36 times
+
+
+HOST_PAGE = "<div class='top'>Welcome to our site</div><div class='box'><h2>Latest</h2><ul><li>One link</li><li>Another</li></ul></div><div class='x1{x}'><p>Story {n} goes here</p><p>More of {n}</p><p class='tail'>Tell your friends</p></div><div class='low'>Read on tomorrow</div>"
+
+
+def test_style_tree_equals_brute_force(spark):
+    from helpers import branch_importance, style_tree
+
+    html = lambda i: HOST_PAGE.format(n=i, x="" if i % 5 else " wide") if i % 7 else PAGE.format(n=i)
+    data = [(i, f"http://h{i % 3}.com/{i}", html(i)) for i in range(60)]
+    df = spark.createDataFrame(data, "page_id bigint, url string, html string")
+    parsed = {i: html_extract.parse_page(t) for i, _, t in data}
+    want = style_tree([(i % 3, n) for i, (_, _, n) in parsed.items()], html_extract.DOUBT)
+    host = {r["host"]: r["page_id"] % 3 for r in rows(html_extract.parse(df))}
+    tree = {(host[r["host"]], r["node"] % (1 << 64)): (r["content"], r["style"]) for r in rows(html_extract.style_tree(html_extract.parse(df)))}
+    assert tree.keys() == want.keys() and all(abs(tree[k][0] - want[k][0]) < 1e-5 and abs(tree[k][1] - want[k][1]) < 1e-5 for k in want)
+    texts = {r["page_id"]: r["text"] for r in rows(html_extract.extract(df))}
+    changed = 0
+    for i, (elements, blocks, _) in parsed.items():
+        known = {n: want[i % 3, n] for _, n, _ in elements}
+        most = html_extract.branches(elements, blocks, known)
+        assert all(abs(most[e] - branch_importance(e, elements, blocks, known, html_extract.SHARE)[1]) < 1e-9 for e in range(len(elements)))
+        assert texts[i] == "\n".join(html_extract.select(elements, blocks, known))
+        changed += texts[i] != "\n".join(html_extract.select(elements, blocks, {}))
+    assert changed > 40 and texts[1] == "Story 1 goes here\nMore of 1"
 
 
 def test_extract_of_nulls_and_no_rows(spark):
