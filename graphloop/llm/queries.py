@@ -41,10 +41,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document that loses text: what goes, by original offsets, and the documents that keep it."""
-    found = line_dedup.repeats(table(spark, sf_dir, "documents"))
+    """Every document with the text that is left, what went by original offsets, and the documents that keep it."""
+    out = line_dedup.removed(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return found.select("doc_id", "n_units", "n_chars", spans.alias("spans"), "first_ids")
+    chars = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    none = F.expr("cast(array() as array<bigint>)")
+    zero = F.lit(0).cast("long")
+    return out.select("row.doc_id", F.col("left").alias("text"), F.coalesce("n_units", zero).alias("n_units"), F.coalesce(chars, zero).alias("n_chars"), F.coalesce(spans, F.lit("")).alias("spans"), F.coalesce("first_ids", none).alias("first_ids"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

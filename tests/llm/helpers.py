@@ -85,31 +85,48 @@ def quality_counts(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
 
 
-def repeats(rows, min_words):
-    """Per document: the spans that go, by the earliest-occurrence rule."""
-    found, places = defaultdict(list), []
-    for i, t in rows:
-        for m in re.finditer(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+", t or ""):
-            u = " ".join(m[0].lower().split())
-            if len(u.split()) >= min_words:
-                places.append((i, m.start(), m.end(), u))
-    for i, s, _, u in places:
-        found[u].append((i is not None, i if i is not None else 0, s))
-    first = {u: min(x) for u, x in found.items()}
-    out = defaultdict(list)
-    for i, s, e, u in sorted((p for p in places if p[0] is not None), key=lambda p: (p[0], p[1])):
-        if (True, i, s) != first[u] and (s, e) not in out[i]:
-            out[i].append((s, e))
-    merged = {}
-    for i, spans in out.items():
-        m = []
-        for s, e in spans:
-            if m and m[-1][1] == s:
-                m[-1] = (m[-1][0], e)
+def repeats(rows, passage):
+    """Per (identifier, text): the spans that go, by the rule of earliest occurrences of lines and of runs of sentences."""
+    first, units = {}, defaultdict(list)
+    for i, t in set(rows):
+        at = 0
+        for line in (t or "").splitlines(keepends=True) if "\n" in (t or "") else [t or ""]:
+            pieces = [("line", at, line)]
+            s = at
+            for piece in re.findall(r"[^.!?]+[.!?]*|[.!?]+", line.removesuffix("\n")) or [""]:
+                pieces.append(("sentence", s, piece))
+                s += len(piece)
+            kind, s, piece = pieces[-1]
+            pieces[-1] = kind, s, piece + line[len(line.removesuffix("\n")) :]
+            for kind, s, piece in pieces:
+                if norm := " ".join(piece.lower().split()):
+                    units[i, t].append((kind, s, s + len(piece), norm))
+            at += len(line)
+        for kind, s, _, norm in units[i, t]:
+            here = (i is not None, i if i is not None else 0, s)
+            first[kind, norm] = min(first.get((kind, norm), here), here)
+    out = {}
+    for (i, t), own in units.items():
+        if i is None:
+            continue
+        spans = [(s, e) for kind, s, e, norm in own if kind == "line" and first[kind, norm] != (True, i, s)]
+        run = []
+        for kind, s, e, norm in [u for u in own if u[0] == "sentence"] + [("end", 0, 0, "")]:
+            if kind == "sentence" and first[kind, norm] != (True, i, s):
+                run.append((s, e, len(norm.split())))
+                continue
+            if sum(x[2] for x in run) >= passage:
+                spans += [x[:2] for x in run]
+            run = []
+        merged = []
+        for s, e in sorted(spans):
+            if merged and s <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
             else:
-                m.append((s, e))
-        merged[i] = m
-    return merged
+                merged.append((s, e))
+        if merged:
+            out[i, t] = merged
+    return out
 
 
 def style_tree(pages, doubt):

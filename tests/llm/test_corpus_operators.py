@@ -104,33 +104,45 @@ def test_components_of_a_long_chain(spark):
 
 def test_repeats_equal_brute_force(spark):
     rng = random.Random(6)
-    sentences = [words(rng, rng.randint(2, 14)).capitalize() + rng.choice([". ", "! ", "\n", ".\n"]) for _ in range(60)]
-    texts = [(100 + i, "".join(rng.choices(sentences, k=rng.randint(0, 25)))) for i in range(60)] + AWKWARD
+    sentences = [words(rng, rng.randint(1, 14)).capitalize() + rng.choice([". ", "! ", "\n", ".\n", "...\n\n", " ?! "]) for _ in range(60)]
+    texts = [(100 + i, "".join(rng.choices(sentences, k=rng.randint(0, 25)))) for i in range(60)] + AWKWARD + [(100, "another text of the same number.\n" + sentences[3])]
     df = docs_table(spark, texts, extra=True)
-    want = repeats(texts, line_dedup.MIN_WORDS)
-    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in rows(line_dedup.repeats(df))}
-    assert got == want and want
-    cut = [r for r in rows(line_dedup.remove(docs_table(spark, texts)))]
-    assert len(cut) == len(texts)
-    for r in cut:
-        text = next(t for i, t in texts if i == r["doc_id"])
-        if r["removed_spans"]:
-            kept, at = [], 0
-            for s in r["removed_spans"]:
-                kept.append(text[at : s["start"]])
-                at = s["end"]
-            text = "".join(kept) + text[at:]
-        assert r["text"] == text
+    want = repeats(texts, line_dedup.PASSAGE)
+    found = sorted((r["doc_id"], [(s["start"], s["end"]) for s in r["spans"]]) for r in rows(line_dedup.repeats(df)))
+    assert found == sorted((i, s) for (i, _), s in want.items()) and len(want) > 40
+    left = rows(line_dedup.remove(df))
+    assert len(left) == len(texts) and set(left[0]) == set(df.columns)  # the clashing column is replaced
+    for r in left:
+        r["text"] = r["text"], r["removed_spans"] and [(s["start"], s["end"]) for s in r["removed_spans"]]
+    cut = [(i, (t and line_dedup.cut(t, [{"start": s, "end": e} for s, e in want.get((i, t), [])]), want.get((i, t)))) for i, t in texts]
+    assert sorted(map(repr, cut)) == sorted(repr((r["doc_id"], r["text"])) for r in left)
+
+
+def test_what_goes_stays_elsewhere(spark):
+    rng = random.Random(16)
+    sentences = [words(rng, rng.randint(1, 9), 60) + ". " for _ in range(25)]
+    texts = [(i, "".join(rng.choice(sentences) + rng.choice(["", "", "\n"]) for _ in range(rng.randint(5, 20)))) for i in range(50)]
+    left = rows(line_dedup.remove(docs_table(spark, texts)))
+    plain = lambda ts: {" ".join(p.split()) for t in ts for p in t.replace("\n", ".").split(".") if p.strip()}
+    assert plain(t for _, t in texts) == plain(r["text"] for r in left) and sum(len(r["text"]) for r in left) < 0.5 * sum(len(t) for _, t in texts)
+
+
+def test_lines_of_any_length_go_and_sentences_alone_stay(spark):
+    texts = [("a", "Yes.\nOne more thing. Short one. The end of it"), ("b", "Clean start here.\nyes.\nShort one. And another end"), ("c", "Nothing of it")]
+    df = spark.createDataFrame(texts, "name string, body string")
+    got = {r["name"]: r for r in rows(line_dedup.repeats(df, "body", "name"))}
+    assert set(got) == {"b"} and [tuple(s) for s in got["b"]["spans"]] == [(18, 23)] and got["b"]["first_ids"] == ["a"]
+    assert {r["name"]: r["body"] for r in rows(line_dedup.remove(df, "body", "name", spans=None))} == dict(texts) | {"b": "Clean start here.\nShort one. And another end"}
 
 
 def test_a_passage_inside_lines_is_found(spark):
-    passage = "The first long sentence of the passage stands here today. The second long sentence of it follows right after. A third one ends what repeats across documents."
+    passage = "The first long sentence of the passage stands here today. The second long sentence of it follows right after. A third one ends what repeats across documents, and a fourth is not far. It ends so."
     texts = [(1, f"Clean words begin, {passage} and other words end."), (2, f"Quite another start, {passage} and a different end."), (3, "Nothing in this clean text repeats at all anywhere.")]
     got = {r["doc_id"]: r for r in rows(line_dedup.repeats(docs_table(spark, texts)))}
     assert set(got) == {2} and got[2]["first_ids"] == [1]
     gone = "".join(texts[1][1][s["start"] : s["end"]] for s in got[2]["spans"])
     assert "second long sentence" in gone and "A third one" in gone and "different end" not in gone
-    assert line_dedup.repeats(docs_table(spark, [])).count() == 0
+    assert line_dedup.repeats(docs_table(spark, [])).count() == 0 and line_dedup.remove(docs_table(spark, [])).count() == 0
 
 
 # Decontamination

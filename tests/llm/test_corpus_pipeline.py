@@ -5,6 +5,8 @@ import duckdb
 import pytest
 from helpers import alike, components, repeats, simhash
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -46,7 +48,7 @@ def test_pipeline_stages_against_brute_force(spark):
     assert all(any(c.isalpha() for c in r["text"]) for r in first.values()) and len(first) >= 0.97 * len(raw)
     want = components([(i, simhash(r["text"])) for i, r in sorted(first.items())], alike=alike({i: r["text"] for i, r in first.items()}, corpus_pipeline.SIMILARITY))
     assert set(kept["near_dedup"]) == {i for i, c in want.items() if i == c}
-    spans = repeats([(i, r["text"]) for i, r in sorted(kept["near_dedup"].items())], line_dedup.MIN_WORDS)
+    spans = {i: s for (i, _), s in repeats([(i, r["text"]) for i, r in sorted(kept["near_dedup"].items())], line_dedup.PASSAGE).items()}
     cut = {i: line_dedup.cut(r["text"], [{"start": s, "end": e} for s, e in spans.get(i, [])]) for i, r in kept["near_dedup"].items()}
     assert {i: r["text"] for i, r in kept["substring_dedup"].items()} == {i: t for i, t in cut.items() if i not in spans or t.strip(" \t\n\x0b\x0c\r")}
     assert all(r["n_chars"] == len(r["text"]) for i, r in kept["substring_dedup"].items() if i in spans)
@@ -63,3 +65,14 @@ def test_stages_of_no_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_keep_columns_of_any_name_and_repeated_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ("_copy", "_row", "_dup_id", "_key", "_lost", "removed_spans", "left", "row", "spans", "fp", "component_id", "topic", "lang_pred", "ambiguous")
+    docs = docs.union(docs.limit(20)).select("*", *[F.lit(c).alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        first = docs.first()
+        assert docs.count() > 20 and all(first[c] == c for c in names), name
