@@ -29,15 +29,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Copies are what fingerprints within two bits link, and texts whose five-word shingles are alike by ``SIMILARITY``.
     """
-    copies = simhash.near_duplicates(docs, similarity=SIMILARITY).filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    copies = simhash.near_duplicates(docs, similarity=SIMILARITY).filter("doc_id <> component_id").select(F.struct("doc_id").alias("_copy")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    return rows.join(copies, F.struct("_row.doc_id") == F.col("_copy"), "left_anti").select("_row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated sentences and lines are cut; a document that has nothing left goes."""
-    cut = line_dedup.remove(docs).filter(F.col("removed_spans").isNull() | (F.btrim("text", F.lit(SPACES)) != ""))
-    n = F.when(F.col("removed_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return cut.withColumn("n_chars", n).select(*docs.columns)
+    """Repeated lines and runs of repeated sentences are cut; a document that has nothing left goes."""
+    cut = line_dedup.removed(docs).filter(F.col("spans").isNull() | (F.btrim("left", F.lit(SPACES)) != ""))
+    of = {"text": F.col("left"), "n_chars": F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("left").cast("long"))}
+    return cut.select(*[of.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
