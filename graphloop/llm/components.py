@@ -1,35 +1,41 @@
 """Connected components of a graph given by its links, as alternating large-star and small-star steps.
 
 Links stay distributed: each round is two aggregations over the links that are left, written to the shared folder, and the
-driver sees three numbers. A node with many links is a skewed key of the join with its least neighbour, one row a node,
-which adaptive execution splits; the aggregation itself is partial before its shuffle.
+driver sees three numbers. A node with many links is a hot key of the join with its least neighbour. That join is salted: a
+link goes to one of ``SALTS`` tasks by its other end, and a node's least neighbour, one row, to all of those; the aggregation
+itself is partial before its shuffle.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloop.llm.common import materialise, release
 
-MAX_ROUNDS = 60
+SALTS = 8
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """(u, v) with m, the least of u and u's neighbours; the aggregation is partial before the shuffle."""
+    """(u, v) with m, the least of u and u's neighbours."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m"))
-    return pairs.join(least, F.col("u") == F.col("_u")).drop("_u")
+    spread = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = pairs.withColumn("_t", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return dealt.join(spread, (F.col("u") == F.col("_u")) & (F.col("_t") == F.col("_s"))).select("u", "v", "m")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with a link to another; component is the least node that can be reached.
 
-    Links of null nodes and of a node to itself are left out. No links give an empty result.
+    Links of null nodes and of a node to itself are left out. No links give an empty result. The rounds end when one changes
+    nothing, which is after a number that grows with the logarithm of the longest path. The result is a table for ``release``.
     """
     e = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     e = materialise(e, "links")
     before = None
-    for _ in range(MAX_ROUNDS):
+    for _ in count():
         both = e.union(e.select("v", "u"))
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # Small star: a node's lower neighbours all point to the least of them.
@@ -37,8 +43,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         old, e = e, materialise(small, "links")
         release(old)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
-        if tuple(now) == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = tuple(now)
-    raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first())
+        if now == before:
+            break
+        before = now
+    ends = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = materialise(ends, "components")
+    release(e)
+    return out

@@ -1,12 +1,14 @@
 """SimHash near-duplicates over a byte-position inverted index with count filtering.
 
 A fingerprint has eight positional bytes. Two fingerprints within two differing bits differ in at most two of them, so they
-share at least six: the guaranteed minimum. Single bytes have 256 values, and their posting lists would grow with the
-corpus; the index is therefore keyed by every choice of six positional bytes (28 postings a fingerprint), and any pair that
-reaches the minimum meets in at least one. Within a posting only two bytes are free, so it holds at most 65,536 distinct
-fingerprints whatever the corpus. There the positional bytes that two fingerprints share are tallied, pairs under the
-minimum dropped, and the rest verified bit by bit. A crowded posting is probed by the bits that may differ (136 lookups an
-entry) instead of pair by pair.
+share at least six: the guaranteed minimum. A posting of one positional byte would hold a 256th of the corpus, so postings
+are made selective by taking five positional bytes at a time. ``CHOICES`` are eleven sets of five positions of which any two
+bytes leave one untouched, so a pair that reaches the minimum meets in at least one posting. There the positional bytes that
+two fingerprints share are tallied (five or more), pairs under the minimum dropped, and the rest verified bit by bit.
+
+A posting with more than ``CROWDED`` entries is not tallied but refined: its entries are dealt again by each of its three
+other positional bytes. Of these a pair that reaches the minimum shares one, so it meets again; only two bytes are free
+then, so a refined posting holds at most 65,536 distinct fingerprints whatever the corpus, and is tallied block by block.
 
 Two bits reach copies that differ in case, spacing or a word of a long text. A text with a few words edited differs in some
 seven bits of 64, and no count of shared bytes is guaranteed there. ``near_duplicates`` therefore takes a ``similarity`` as
@@ -39,12 +41,14 @@ from graphloop.llm.common import materialise, prepare, release
 from graphloop.llm.components import components
 
 SHINGLE, SEED, MAX_BITS, POSITIONS = 3, 42, 2, 8
-#: Hashes counted at once, and the posting size from which entries are probed instead of compared.
-CHUNK, PROBE_FROM = 1 << 15, 64
+#: Hashes counted at once, the posting size above which a posting is refined, and entries tallied against each other at once.
+CHUNK, CROWDED, BLOCK = 1 << 15, 2048, 512
 #: For ``near_copies``: words of a shingle; texts whose shingles are counted for the order, and the most shingles that it
 #: tells apart; rounds with leaders. All but the first are a matter of speed alone.
 WIDE, COUNTED, TOLD, ROUNDS = 5, 20_000, 500_000, 2
-CHOICES = list(combinations(range(POSITIONS), POSITIONS - MAX_BITS))
+#: The positions that are left out, three at a time: every two positions are together in one of these.
+LEFT_OUT = [(0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5), (7, 0, 1), (7, 2, 3), (7, 4, 5), (7, 6, 0)]
+CHOICES = [tuple(p for p in range(POSITIONS) if p not in out) for out in LEFT_OUT]
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -186,11 +190,11 @@ def _possible(one: str, two: str, similarity: float) -> Column:
     return F.least(n - i, m - j) * (1 + similarity) >= (n + m) * similarity - 1e-6
 
 
-def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str = "text", ident: str = "doc_id") -> list[DataFrame]:
-    """Tables of links (fa, fb) between fingerprints, which join the same fingerprints as all pairs of that similarity.
+def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str = "text", ident: str = "doc_id") -> tuple[list[DataFrame], list[DataFrame]]:
+    """Links (fa, fb) between fingerprints, which join the same fingerprints as all pairs of that similarity.
 
     sketched: ``sketches`` of ``df``. A shingle set is told by its digest, and read from the row of its least identifier;
-    rows without an identifier or words take no part.
+    rows without an identifier or words take no part. The second list has the tables to release when the first is used.
     """
     own = sketched.filter(F.col(ident).isNotNull() & (F.col("size") > 0))
     chosen = materialise(own.groupBy("digest").agg(F.min(ident).alias("_id"), F.min("fp").alias("f")), "chosen")
@@ -218,7 +222,7 @@ def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str
     sets = _sets(some, lambda digest, wide: pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([wide.tobytes()], pa.binary())], ["digest", "wide"]), "digest long, wide binary")
     sets = materialise(sets.dropDuplicates(["digest"]), "shingles")
     member = F.struct("group", "digest", "size", "place")
-    links = None
+    links, used = None, [chosen]
     for k in range(ROUNDS + 1):
         if left.isEmpty():
             break
@@ -232,12 +236,14 @@ def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str
         pairs = materialise(met.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct(), "pairs")
         linked = materialise(_alike(pairs, sets, similarity), "links")
         release(pairs)
+        used.append(linked)
         two = of.select(F.col("_d").alias("_e"), F.col("f").alias("fb"))
         found.append(linked.join(of, F.col("a") == F.col("_d")).join(two, F.col("b") == F.col("_e")).select(F.col("f").alias("fa"), "fb"))
         if k == ROUNDS:
             break
         links = linked if links is None else links.union(linked)
         grouped = components(links)
+        used.append(grouped)
         moved = left.drop("group").join(grouped, F.col("digest") == F.col("node"), "left").select("key", "digest", "size", "place", F.coalesce("component", "digest").alias("group"))
         moved = materialise(moved, "moved")
         mixed = moved.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select(F.col("key").alias("_key"))
@@ -245,65 +251,118 @@ def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str
         release(before)
         release(moved)
     release(sets)
-    return found
-
-
-def _linked(entries: np.ndarray, free: np.ndarray) -> list[tuple[int, int]]:
-    """Links of one posting. entries: distinct fingerprints, sorted; free: the bits of the bytes that may differ."""
-    out: list[tuple[int, int]] = []
-    if len(entries) < PROBE_FROM:
-        x = entries[:, None] ^ entries[None, :]
-        shared = (x.view(np.uint8).reshape(*x.shape, POSITIONS) == 0).sum(-1)  # the tally of shared positional bytes
-        i, j = np.nonzero(np.triu(shared >= POSITIONS - MAX_BITS, 1))
-        near = np.bitwise_count(x[i, j]) <= MAX_BITS
-        return list(zip(entries[i[near]].tolist(), entries[j[near]].tolist(), strict=True))
-    masks = np.concatenate([free, np.array([a | b for a, b in combinations(free.tolist(), 2)], np.uint64)])
-    for m in masks:  # each is one or two bits of two bytes: at least six bytes are shared
-        other = entries ^ m
-        found = entries[np.minimum(np.searchsorted(entries, other), len(entries) - 1)] == other
-        found &= entries < other
-        out += zip(entries[found].tolist(), other[found].tolist(), strict=True)
-    return out
+    used.append(left)
+    return found, used
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b) with a < b as unsigned numbers: all pairs of distinct fingerprints (column fp) within ``MAX_BITS`` bits."""
-    spark = prepare(distinct.sparkSession)
-    # Each row becomes 28, so the rows are dealt evenly first instead of over the few tasks that their own size asks for.
-    distinct = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keys = []
-    for k, chosen in enumerate(CHOICES):
-        mask = sum(0xFF << (8 * p) for p in chosen)
-        mask -= (mask >> 63) << 64
-        keys.append(F.struct(F.lit(k).cast("tinyint").alias("k"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bytes")))
-    postings = distinct.select("fp", F.explode(F.array(*keys)).alias("p")).groupBy("p.k", "p.bytes").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("k", "fps")
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for k, fps in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                entries = np.unique(fps.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-                free = np.array([1 << (8 * p + b) for p in range(POSITIONS) if p not in CHOICES[k] for b in range(8)], np.uint64)
-                found += _linked(entries, free)
-            both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+def _tally(entries: np.ndarray) -> Iterator[np.ndarray]:
+    """Links (a, b), a < b, of one posting. entries: distinct fingerprints, sorted."""
+    for i in range(0, len(entries), BLOCK):
+        left = entries[i : i + BLOCK]
+        for j in range(i, len(entries), BLOCK):
+            x = left[:, None] ^ entries[None, j : j + BLOCK]
+            shared = (x.view(np.uint8).reshape(*x.shape, POSITIONS) == 0).sum(-1, dtype=np.uint8)  # positional bytes in common
+            a, b = np.nonzero((shared >= POSITIONS - MAX_BITS) & (np.bitwise_count(x) <= MAX_BITS))
+            ordered = a + i < b + j
+            yield np.stack([left[a[ordered]], entries[j + b[ordered]]], 1)
 
-    return postings.mapInArrow(tally, "a long, b long").distinct()
+
+def _mask(positions: tuple[int, ...]) -> int:
+    mask = sum(0xFF << (8 * p) for p in positions)
+    return mask - (mask >> 63 << 64)
+
+
+def _postings(rows: DataFrame, keys: list[tuple[int, ...]], crowded: int | None) -> DataFrame:
+    """Rows (a, b, k) from rows (fp, k): links (k null), and the entries of postings over ``crowded`` (a; b null).
+
+    keys: the positions that each k stands for. Postings are runs of a sorted stream, of which at most ``crowded`` entries
+    (65,536 without) are held at a time.
+    """
+    masks = F.array(*[F.lit(_mask(p)) for p in keys])
+    keyed = rows.select("k", F.col("fp").bitwiseAND(F.get(masks, F.col("k").cast("int"))).alias("bytes"), "fp")
+    ordered = keyed.repartition("k", "bytes").sortWithinPartitions("k", "bytes", "fp")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(a: np.ndarray, b: np.ndarray | None, k: int | None) -> pa.RecordBatch:
+            n = len(a)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64()), pa.nulls(n, pa.int8()) if k is None else pa.array(np.full(n, k, np.int8))], ["a", "b", "k"])
+
+        held: list[np.ndarray] = []
+        now, size, over = None, 0, False
+
+        def ended() -> Iterator[np.ndarray]:
+            if size > 1 and not over:
+                yield from _tally(np.unique(np.concatenate(held).view(np.uint64)))
+
+        found: list[np.ndarray] = []
+        for own in batches:
+            k, key, fp = (own.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            if not len(k):
+                continue
+            starts = np.concatenate([[0], np.nonzero((k[1:] != k[:-1]) | (key[1:] != key[:-1]))[0] + 1, [len(k)]])
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if (k[s], key[s]) != now:
+                    found += ended()
+                    held, now, size, over = [], (k[s], key[s]), 0, False
+                size += e - s
+                held.append(fp[s:e])
+                if crowded is not None and size > crowded:
+                    over = True
+                    yield batch(np.concatenate(held), None, int(k[s]))
+                    held = []
+            if found:
+                both = np.concatenate(found).view(np.int64)
+                found = []
+                yield batch(both[:, 0], both[:, 1], None)
+        found += ended()
+        if found:
+            both = np.concatenate(found).view(np.int64)
+            yield batch(both[:, 0], both[:, 1], None)
+
+    return ordered.mapInArrow(stream, "a long, b long, k tinyint")
+
+
+def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(a, b) with a < b as unsigned numbers: all pairs of distinct fingerprints (column fp) within ``MAX_BITS`` bits.
+
+    The table that it writes, named by ``_scratch_path``, is for ``release``.
+    """
+    spark = prepare(distinct.sparkSession)
+    # Each row becomes eleven, so the rows are dealt evenly first instead of over the few tasks that their own size asks for.
+    dealt = distinct.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    places = F.explode(F.array(*[F.lit(k).cast("tinyint") for k in range(len(CHOICES))])).alias("k")
+    first = materialise(_postings(dealt.select("fp", places), CHOICES, crowded), "tallied")
+    refined = [(*chosen, p) for chosen, out in zip(CHOICES, LEFT_OUT, strict=True) for p in out]
+    again = first.filter("b is null").select(F.col("a").alias("fp"), F.explode(F.array(*[(F.col("k") * 3 + i).cast("tinyint") for i in range(3)])).alias("k")).distinct()
+    pairs = first.filter("b is not null").select("a", "b").union(_postings(again, refined, None).select("a", "b")).distinct()
+    out = materialise(pairs, "pairs")
+    release(first)
+    return out
 
 
 def near_duplicates(df: DataFrame, text: str = "text", ident: str = "doc_id", similarity: float | None = None) -> DataFrame:
     """Rows of ``ident``, fingerprint (16 hexadecimal digits) and component_id, the least identifier that links reach.
 
-    Fingerprints link at ``MAX_BITS`` bits or fewer; with ``similarity``, texts of that similarity link as well.
+    Fingerprints link at ``MAX_BITS`` bits or fewer; with ``similarity``, texts of that similarity link as well. The rows are
+    a table in the shared folder, for ``release``; all other tables are deleted here.
     """
     fps = materialise(fingerprints(df, text, ident) if similarity is None else sketches(df, text, ident), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min(ident).alias("least"))
-    pairs = links(classes.select("fp"))
-    for more in near_copies(df, fps, similarity, text, ident) if similarity is not None else []:
-        pairs = pairs.union(more.filter("fa <> fb"))
+    classes = materialise(fps.groupBy("fp").agg(F.min(ident).alias("least")), "classes")
+    used = [fps, classes, links(classes.select("fp"))]
+    pairs = used[-1]
+    if similarity is not None:
+        more, scratch = near_copies(df, fps, similarity, text, ident)
+        used += scratch
+        for own in more:
+            pairs = pairs.union(own.filter("fa <> fb"))
     # Links between classes are told by the classes' least identifiers; a class of null identifiers alone takes part by none.
     of = classes.filter("least is not null")
     named = pairs.join(of.select(F.col("fp").alias("a"), F.col("least").alias("la")), "a").join(of.select(F.col("fp").alias("b"), F.col("least").alias("lb")), "b")
     moved = components(named, "la", "lb")
+    used.append(moved)
     label = classes.join(moved, F.col("least") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "least").alias("component_id"))
-    return fps.join(label, F.col("fp") == F.col("_fp"), "left").select(ident, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    whole = fps.join(label, F.col("fp") == F.col("_fp"), "left").select(ident, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = materialise(whole, "components")
+    for x in used:
+        release(x)
+    return out

@@ -77,7 +77,38 @@ def test_crowded_postings_lose_no_link(spark):
     df = spark.createDataFrame([(signed(x),) for x in prints], "fp bigint")
     got = {frozenset((r["a"], r["b"])) for r in rows(sh.links(df))}
     ordered = list(prints)
-    assert got == {frozenset((signed(a), signed(b))) for k, a in enumerate(ordered) for b in ordered[:k] if (a ^ b).bit_count() <= 2}
+    want = {frozenset((signed(a), signed(b))) for k, a in enumerate(ordered) for b in ordered[:k] if (a ^ b).bit_count() <= 2}
+    assert got == want and len(want) > 2000
+    assert {frozenset((r["a"], r["b"])) for r in rows(sh.links(df, crowded=20))} == want  # by refined postings
+
+
+def test_every_two_bytes_leave_a_posting_and_blocks_lose_nothing(monkeypatch):
+    from itertools import combinations
+
+    import numpy as np
+
+    assert all(any(not set(out) & set(c) for c in sh.CHOICES) for out in combinations(range(8), 2))
+    rng = random.Random(3)
+    prints = np.unique(np.array([rng.getrandbits(6) for _ in range(60)], np.uint64))
+    monkeypatch.setattr(sh, "BLOCK", 7)
+    got = [tuple(x) for t in sh._tally(prints) for x in t.tolist()]
+    assert sorted(got) == [(a, b) for a, b in combinations(prints.tolist(), 2) if (a ^ b).bit_count() <= 2]
+
+
+@pytest.mark.parametrize("original", [True, False])
+def test_a_star_of_edited_copies_loses_no_pair(spark, original):
+    rng = random.Random(21)
+    base = words(rng, 300, 4000).split()
+    texts = [(0, " ".join(base))] if original else []
+    for k in range(1, 401):
+        w = base[:]
+        for at in rng.sample(range(300), rng.randint(3, 8)):
+            w[at] = f"e{k}x{at}"
+        texts.append((k, " ".join(w)))
+    pairs = alike(dict(texts), 0.8)
+    got = {r["doc_id"]: r["component_id"] for r in rows(sh.near_duplicates(docs_table(spark, texts), similarity=0.8))}
+    assert len(pairs) > 100 and all(got[i] == got[j] for i, j in pairs)
+    assert got == components([(i, simhash(t)) for i, t in texts], alike=pairs)
 
 
 def test_near_duplicates_of_repeated_and_no_rows(spark):
