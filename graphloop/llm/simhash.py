@@ -46,6 +46,9 @@ CHUNK, CROWDED, BLOCK = 1 << 15, 2048, 512
 #: For ``near_copies``: words of a shingle; texts whose shingles are counted for the order, and the most shingles that it
 #: tells apart; rounds with leaders. All but the first are a matter of speed alone.
 WIDE, COUNTED, TOLD, ROUNDS = 5, 20_000, 500_000, 2
+#: Bits, as a power of two, of the map that tells shingles of one text only from the others (16 MB, whatever the corpus), and
+#: the parts of a set's histogram.
+MAP_BITS, PARTS = 27, 256
 #: The positions that are left out, three at a time: every two positions are together in one of these.
 LEFT_OUT = [(0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5), (7, 0, 1), (7, 2, 3), (7, 4, 5), (7, 6, 0)]
 CHOICES = [tuple(p for p in range(POSITIONS) if p not in out) for out in LEFT_OUT]
@@ -166,8 +169,28 @@ def _common(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], times[order]
 
 
+def histogram(wide: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of ``PARTS`` parts of all hashes, as bytes; 255 stands for that or more."""
+    return np.minimum(np.bincount((wide >> np.uint64(56)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of digests whose shingle sets have at least that Jaccard similarity."""
+    """The pairs (a, b) of digests whose shingle sets (digest, wide, parts) have at least that Jaccard similarity, as a table.
+
+    Two sets share no more in any part than the lesser has there. That bound, over rows of a tenth of a set's size, drops
+    most pairs before whole sets are joined to those left.
+    """
+
+    def at_least(shared: float, both: int) -> bool:
+        return shared >= similarity * (both - shared) - 1e-9
+
+    @F.pandas_udf("boolean")
+    def allowed(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right, n, m in batches:
+            x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, PARTS) for v in (left, right))
+            least = np.minimum(x, y)
+            bound = np.where((least == 255).any(1), np.minimum(n, m), least.sum(1, dtype=np.int64))
+            yield pd.Series([at_least(s, b) for s, b in zip(bound.tolist(), (n + m).tolist(), strict=True)], dtype=bool)
 
     @F.pandas_udf("boolean")
     def reached(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -175,13 +198,27 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             out = []
             for x, y in zip(left, right, strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+                out.append(at_least(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)))
             yield pd.Series(out, dtype=bool)
 
-    one, two = (sets.select(F.col("digest").alias(f"_{k}"), F.col("wide").alias(f"_w{k}")) for k in "ab")
-    both = pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
-    return both.filter(reached("_wa", "_wb")).select("a", "b").distinct()
+    def joined(pairs: DataFrame, *columns: str) -> DataFrame:
+        one, two = (sets.select(F.col("digest").alias(f"_{k}"), *[F.col(c).alias(f"_{c}_{k}") for c in columns]) for k in "ab")
+        return pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
+
+    few = materialise(joined(pairs, "parts", "size").filter(allowed("_parts_a", "_parts_b", "_size_a", "_size_b")).select("a", "b"), "allowed")
+    out = materialise(joined(few, "wide").filter(reached("_wide_a", "_wide_b")).select("a", "b").distinct(), "links")
+    release(few)
+    return out
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """2^``MAP_BITS`` bits, as words of 64; those of the keys' first bits are set."""
+    at = F.shiftrightunsigned("key", 64 - MAP_BITS)
+    words = keys.select(F.shiftrightunsigned(at, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
+    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    out[found["w"].to_numpy()] = found["b"].to_numpy().view(np.uint64)
+    return out
 
 
 def _possible(one: str, two: str, similarity: float) -> Column:
@@ -204,22 +241,33 @@ def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str
     texts = df.select(F.col(ident).alias("_i"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull()).join(chosen.select("_id"), F.col("_i") == F.col("_id"), "left_semi")
     common, times = _common(texts, chosen.count())
 
-    def first(digest: np.int64, wide: np.ndarray) -> pa.RecordBatch:
+    def first(wide: np.ndarray) -> np.ndarray:
         often = np.zeros(len(wide), np.int64)
         if len(common):
             at = np.minimum(np.searchsorted(common, wide), len(common) - 1)
             often = np.where(common[at] == wide, times[at], 0)
-        keys = wide[np.lexsort((wide, often))][: prefix_length(len(wide), similarity)] if len(wide) else wide
-        n = len(keys)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(n, digest)), pa.array(np.full(n, len(wide), np.int32)), pa.array(np.arange(n, dtype=np.int32))], ["key", "digest", "size", "place"])
-
-    postings = materialise(_sets(texts, first, "key long, digest long, size int, place int"), "postings")
-    shared = postings.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select(F.col("key").alias("_key"))
-    left = materialise(postings.join(shared, F.col("key") == F.col("_key"), "left_semi").withColumn("group", F.col("digest")), "buckets")
-    release(postings)
+        return wide[np.lexsort((wide, often))][: prefix_length(len(wide), similarity)].view(np.int64)
+
+    # Most shingles are in one text only. They are told by a count of shingles alone and, of fixed size, a map of those that
+    # aren't; what the map lets pass wrongly goes with the join. Texts are read again, which keeps the wider rows few.
+    counted = _sets(texts, lambda _, wide: pa.RecordBatch.from_arrays([pa.array(first(wide))], ["key"]), "key long")
+    shared = materialise(counted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
+    seen = df.sparkSession.sparkContext.broadcast(_bitmap(shared))
+
+    def posted(digest: np.int64, wide: np.ndarray) -> pa.RecordBatch:
+        keys = first(wide)
+        at = keys.view(np.uint64) >> np.uint64(64 - MAP_BITS)
+        place = np.nonzero(seen.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))[0]
+        n = len(place)
+        return pa.RecordBatch.from_arrays([pa.array(keys[place]), pa.array(np.full(n, digest)), pa.array(np.full(n, len(wide), np.int32)), pa.array(place.astype(np.int32))], ["key", "digest", "size", "place"])
+
+    postings = _sets(texts, posted, "key long, digest long, size int, place int")
+    left = materialise(postings.join(shared.select(F.col("key").alias("_key")), F.col("key") == F.col("_key"), "left_semi").withColumn("group", F.col("digest")), "buckets")
+    release(shared)
     few = left.select(F.col("digest").alias("_d")).distinct().join(chosen, F.col("digest") == F.col("_d")).select("_id")
     some = texts.join(few.withColumnRenamed("_id", "_few"), F.col("_i") == F.col("_few"), "left_semi")
-    sets = _sets(some, lambda digest, wide: pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([wide.tobytes()], pa.binary())], ["digest", "wide"]), "digest long, wide binary")
+    row = lambda digest, wide: pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([wide.tobytes()], pa.binary()), pa.array([histogram(wide)], pa.binary()), pa.array([len(wide)], pa.int32())], ["digest", "wide", "parts", "size"])
+    sets = _sets(some, row, "digest long, wide binary, parts binary, size int")
     sets = materialise(sets.dropDuplicates(["digest"]), "shingles")
     member = F.struct("group", "digest", "size", "place")
     links, used = None, [chosen]
@@ -234,7 +282,7 @@ def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str
             led = left.select("key", member.alias("y")).join(x, (F.col("key") == F.col("_key")) & (F.col("x.group") < F.col("y.group")) & _possible("x", "y", similarity)).select("x", "y")
         met = led.filter((F.col("x.group") != F.col("y.group")) & _possible("x", "y", similarity))
         pairs = materialise(met.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct(), "pairs")
-        linked = materialise(_alike(pairs, sets, similarity), "links")
+        linked = _alike(pairs, sets, similarity)
         release(pairs)
         used.append(linked)
         two = of.select(F.col("_d").alias("_e"), F.col("f").alias("fb"))
