@@ -2,18 +2,26 @@
 
 Items are indexed with BM25 impacts, each divided by the item's score against itself, so a passage's score is the share of
 the item that it matches, and one threshold fits all items. A passage is a window of twice the longest item's length (at
-least ``WINDOW`` words) and starts every half window, so each item that a text holds lies whole in some passage. Postings are
-in blocks of neighbouring items with the greatest impact of each block; blocks whose bound is under the threshold are
-skipped for all passages of a text at once, and WAND runs with the rest. Retrieved pairs are verified on word shingles: five
-words of the question, and those of the answer, must be found in the passage to the shares that are asked.
-
-The index is built from the whole benchmark table, in shards of at most ``SHARD`` items (a bound on what travels to the
-executors); documents are read once for each shard. An item's answer is what follows its last question mark, or else its
-last sentence; an item of one sentence is all question.
+least ``WINDOW`` words) and starts every half window, so each item that a text holds lies whole in some passage.
+
+Passages of a text are first held against a bound, many at once: of every item the weakest terms, ``SLACK`` of it together,
+are taken as matched, and the postings of the others, which are the rarer and shorter ones, are added up. Only a passage
+that could reach the threshold with some item goes on to the search. There each term has a cursor over its postings, in
+blocks of ``BLOCK`` with their greatest impact: the pivot is the first item that the terms' greatest impacts allow, the
+blocks around it must allow it as well, else the cursors skip to the end of the nearest block, and what remains is scored.
+Retrieved pairs are verified on word shingles: five words of the question, and those of the answer, must be found in the
+passage to the shares that are asked.
+
+Document frequencies, lengths and the window are counted once over the whole benchmark. The index travels to the executors
+as long as it has ``PART`` postings or fewer, in one piece, and documents are read once; a larger benchmark is cut into parts
+of that size with a pass each, which changes no row, as a part has the statistics of the whole. Texts are searched in slices
+of passages, as many as keep a table of passages by terms or items within ``SLICE`` cells (one at least), so memory doesn't
+grow with their length. An item's answer is what follows its last question
+mark, or else its last sentence; an item of one sentence is all question.
 
 Defined cases: null or empty texts and items match nothing; items shorter than a shingle are one shingle; identical items
-are all reported; rows that repeat an identifier are judged one by one and reported once; an empty table on either side
-gives an empty result; other columns of the inputs are ignored.
+are all reported; rows that repeat an identifier are judged one by one and reported once; identifiers can be of any type; an
+empty table on either side gives an empty result; other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +29,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import reduce
-from math import log
+from math import fsum, log
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -34,7 +44,7 @@ from graphloop.llm.common import prepare
 
 K1, B = 1.2, 0.75
 THRESHOLD, QUESTION, ANSWER = 0.7, 0.5, 0.5
-SHINGLE, WINDOW, BLOCK, SHARD = 5, 64, 4, 2000
+SHINGLE, WINDOW, BLOCK, SLACK, SLICE, PART = 5, 64, 8, 0.2, 4_000_000, 4_000_000
 _SPLIT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
 
@@ -74,149 +84,233 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> set[bytes]:
     return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
-class Index:
-    """Postings of test items in blocks, with each block's greatest impact."""
+@dataclass
+class Statistics:
+    """What BM25 needs to know of the whole benchmark: items with words, items by word, words in all, words of the longest."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        items = [(i, t) for i, t in items if words_of(t)]
-        bags = [Counter(words_of(t)) for _, t in items]
-        n = len(items)
-        seen = Counter(w for b in bags for w in b)
-        self.term = {w: k for k, w in enumerate(sorted(seen))}
-        mean = sum(b.total() for b in bags) / max(1, n)
+    items: int = 0
+    seen: Counter = field(default_factory=Counter)
+    words: int = 0
+    longest: int = 0
+
+    def add(self, text: str | None) -> int:
+        """Counts one item; the number of its distinct words."""
+        words = words_of(text)
+        if words:
+            self.items += 1
+            self.seen.update(set(words))
+            self.words += len(words)
+            self.longest = max(self.longest, len(words))
+        return len(set(words))
+
+    def impacts(self, words: list[bytes]) -> dict[bytes, float]:
+        """BM25 of each word of an item, divided by the sum."""
+        mean = self.words / max(1, self.items)
+        raw = {}
+        for w, f in Counter(words).items():
+            idf = log(1 + (self.items - self.seen[w] + 0.5) / (self.seen[w] + 0.5))
+            raw[w] = idf * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean))
+        whole = fsum(raw.values())
+        return {w: x / whole for w, x in raw.items()}
+
+
+class Cursor:
+    """A place in the postings of a term: items in order, with impacts; blocks with their last item and greatest impact."""
+
+    __slots__ = ("at", "block", "doc", "impacts", "items", "lasts", "most", "tops")
+
+    def __init__(self, postings: tuple[list[int], list[float], list[int], list[float], float]):
+        self.items, self.impacts, self.lasts, self.tops, self.most = postings
+        self.at = self.block = 0
+        self.doc = self.items[0]
+
+    def seek(self, doc: int) -> bool:
+        """Goes to the first posting at or after ``doc``, past whole blocks first; False at the end."""
+        if not self.shallow(doc):
+            return False
+        at, items = max(self.at, self.block * BLOCK), self.items
+        while items[at] < doc:
+            at += 1
+        self.at, self.doc = at, items[at]
+        return True
+
+    def shallow(self, doc: int) -> bool:
+        """Goes to the block that could hold ``doc``, without a look at its postings."""
+        block, lasts = self.block, self.lasts
+        while block < len(lasts) and lasts[block] < doc:
+            block += 1
+        self.block = block
+        return block < len(lasts)
 
-        def impacts(bag: Counter) -> dict[bytes, float]:
-            raw = {w: log(1 + (n - seen[w] + 0.5) / (seen[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * bag.total() / mean)) for w, f in bag.items()}
-            whole = sum(raw.values())
-            return {w: x / whole for w, x in raw.items()}
 
+class Index:
+    """Postings of test items. statistics: of the benchmark that the items are from; by default they are all of it."""
+
+    def __init__(self, items: list[tuple[Any, str]], statistics: Statistics | None = None, threshold: float = THRESHOLD):
+        if statistics is None:
+            statistics = Statistics()
+            for _, t in items:
+                statistics.add(t)
+        items = [(i, t) for i, t in items if words_of(t)]
         # Items with alike terms stand together, which makes the bounds of blocks tight.
-        order = sorted(range(n), key=lambda k: (sorted(bags[k], key=lambda w: (-seen[w], w))[:3], items[k]))
+        bag = {k: words_of(t) for k, (_, t) in enumerate(items)}
+        order = sorted(bag, key=lambda k: (sorted(set(bag[k]), key=lambda w: (-statistics.seen[w], w))[:3], str(items[k])))
         self.ids = [items[k][0] for k in order]
         self.parts = [parts_of(items[k][1]) for k in order]
-        self.longest = max((b.total() for b in bags), default=0)
-        self.blocks = -(-n // BLOCK)
-        self.bound = np.zeros((len(self.term), self.blocks), np.float32)
-        self.postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in self.term]
+        self.threshold = threshold
+        self.half = max(WINDOW, statistics.longest)
+        self.term = {w: t for t, w in enumerate(sorted({w for words in bag.values() for w in words}))}
+        lists: list[list[tuple[int, float]]] = [[] for _ in self.term]
+        strong: list[list[tuple[int, float]]] = [[] for _ in self.term]
+        self.granted = np.zeros(len(order))  # what an item's weak terms make together
         for d, k in enumerate(order):
-            for w, x in impacts(bags[k]).items():
-                t = self.term[w]
-                self.postings[t].setdefault(d // BLOCK, []).append((d, x))
-                self.bound[t, d // BLOCK] = max(self.bound[t, d // BLOCK], x)
-        self.half = max(WINDOW, self.longest)
-
-    def search(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
-        """WAND within a block: items whose score reaches the threshold. terms: distinct."""
-        lists = [[0, max(x for _, x in own), own] for t in terms if (own := self.postings[t].get(block))]
+            for w, x in sorted(statistics.impacts(bag[k]).items(), key=lambda wx: (wx[1], wx[0])):
+                lists[self.term[w]].append((d, x))
+                if self.granted[d] + x <= SLACK:
+                    self.granted[d] += x
+                else:
+                    strong[self.term[w]].append((d, x))
+        self.postings = []
+        for own in lists:
+            cuts = [own[k : k + BLOCK] for k in range(0, len(own), BLOCK)]
+            self.postings.append(([d for d, _ in own], [x for _, x in own], [c[-1][0] for c in cuts], [max(x for _, x in c) for c in cuts], max(x for _, x in own)))
+        # The strong postings of all terms in one array, each term's from its start.
+        self.start = np.cumsum([0, *map(len, strong)])
+        flat = [p for own in strong for p in own]
+        self.item = np.array([d for d, _ in flat], np.int64)
+        self.impact = np.array([x for _, x in flat], np.float64)
+
+    def search(self, terms: list[int], threshold: float | None = None) -> list[tuple[int, float]]:
+        """Block-max WAND: (place of the item, score) of the items whose score reaches the threshold. terms: distinct."""
+        threshold = self.threshold if threshold is None else threshold
+        least = threshold - 1e-9
+        cursors = [Cursor(self.postings[t]) for t in terms]
         found = []
-        while lists:
-            lists.sort(key=lambda x: x[2][x[0]][0])
-            total, pivot = 0.0, -1
-            for k, (_, most, _) in enumerate(lists):
-                total += most
-                if total >= threshold:
-                    pivot = k
+        while cursors:
+            cursors.sort(key=lambda c: c.doc)
+            total, p = 0.0, 0
+            for p, c in enumerate(cursors):  # noqa: B007
+                total += c.most
+                if total >= least:
                     break
-            if pivot < 0:
+            else:
                 break
-            d = lists[pivot][2][lists[pivot][0]][0]
-            if lists[0][2][lists[0][0]][0] == d:
-                score = 0.0
-                for x in lists:
-                    if x[2][x[0]][0] != d:
-                        break
-                    score += x[2][x[0]][1]
-                    x[0] += 1
-                if score >= threshold:
-                    found.append((d, score))
+            pivot = cursors[p].doc
+            while p + 1 < len(cursors) and cursors[p + 1].doc == pivot:
+                p += 1
+            ahead = cursors[: p + 1]
+            if not all([c.shallow(pivot) for c in ahead]):
+                cursors = [c for c in ahead if c.block < len(c.lasts)] + cursors[p + 1 :]
+                continue
+            if sum(c.tops[c.block] for c in ahead) < least:  # no item up to the end of the nearest block can reach it
+                beyond = min(c.lasts[c.block] for c in ahead) + 1
+                if p + 1 < len(cursors):
+                    beyond = min(beyond, cursors[p + 1].doc)
+                cursors = [c for c in ahead if c.seek(max(beyond, pivot + 1))] + cursors[p + 1 :]
+            elif cursors[0].doc == pivot:
+                score = fsum(c.impacts[c.at] for c in ahead)
+                if score >= least:
+                    found.append((pivot, score))
+                cursors = [c for c in ahead if c.seek(pivot + 1)] + cursors[p + 1 :]
             else:
-                for x in lists[:pivot]:
-                    while x[0] < len(x[2]) and x[2][x[0]][0] < d:
-                        x[0] += 1
-            lists = [x for x in lists if x[0] < len(x[2])]
+                cursors = [c for c in ahead if c.doc == pivot or c.seek(pivot)] + cursors[p + 1 :]
         return found
 
-    def match(self, text: str | None, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> list[tuple[int, float, float, float, int]]:
+    def could_reach(self, passage: np.ndarray, term: np.ndarray, passages: int) -> np.ndarray:
+        """The passages, of so many, that could reach the threshold with some item. Rows: a passage and one of its distinct terms."""
+        n = self.start[term + 1] - self.start[term]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat(self.start[term] - ends + n, n)
+        key = np.repeat(passage * len(self.ids), n) + self.item[at]
+        bound = np.bincount(key, self.impact[at], minlength=passages * len(self.ids)).reshape(passages, -1) + self.granted
+        return np.nonzero((bound >= self.threshold - 1e-9).any(1))[0]
+
+    def match(self, text: str | None, question: float = QUESTION, answer: float = ANSWER) -> list[tuple[Any, float, float, float, int]]:
         """(item, score, question overlap, answer overlap, first word of the passage), the best passage of each item."""
         words = words_of(text)
         known = self.term.get
-        ids = np.array([-1 if t is None else t for t in map(known, words)], np.int64)
-        at = np.nonzero(ids >= 0)[0]
-        if not len(at):
-            return []
-        v = len(self.term)
-        part = at // self.half
-        last = max(0, (len(words) - 1) // self.half - 1)  # of the passages; each has two halves
-        key = np.concatenate([np.minimum(part, last) * v + ids[at], (np.maximum(part - 1, 0)) * v + ids[at]])
-        key = np.unique(key)
-        passage, term = key // v, key % v
-        starts = np.nonzero(np.diff(passage, prepend=-1))[0]
-        bounds = np.add.reduceat(self.bound[term], starts, axis=0)
+        passages = max(1, -(-len(words) // self.half) - 1)  # each has two halves
         best: dict[int, tuple[float, float, float, int]] = {}
-        rows, blocks = np.nonzero(bounds >= threshold - 1e-6)
-        ends = np.append(starts[1:], len(term))
-        held: tuple[int, dict[int, set[bytes]]] = (-1, {})
-        for r, block in zip(rows.tolist(), blocks.tolist(), strict=True):
-            start = int(passage[starts[r]]) * self.half
-            for d, score in self.search(term[starts[r] : ends[r]].tolist(), block, threshold):
-                if held[0] != start:
-                    held = start, {}
-                for n, _ in self.parts[d]:
-                    if n not in held[1]:
-                        held[1][n] = shingles(words[start : start + 2 * self.half], n)
-                share = [len(x & held[1][n]) / len(x) if x else 1.0 for n, x in self.parts[d]]
-                if share[0] >= question and share[1] >= answer:
-                    mine = (score, share[0], share[1], start)
-                    if d not in best or mine[:3] > best[d][:3]:
-                        best[d] = mine
+        step = max(1, SLICE // max(len(self.term), len(self.ids), 1))
+        for low in range(0, passages, step):
+            n = min(step, passages - low)
+            own = words[low * self.half : (low + n + 1) * self.half]
+            ids = np.array([known(w, -1) for w in own], np.int64)
+            at = np.nonzero(ids >= 0)[0]
+            if not len(at):
+                continue
+            present = np.zeros((n + 1, len(self.term)), bool)
+            present[at // self.half, ids[at]] = True
+            passage, term = np.nonzero(present[:-1] | present[1:])
+            for p in self.could_reach(passage, term, n).tolist():
+                own = term[np.searchsorted(passage, p) : np.searchsorted(passage, p, "right")].tolist()
+                start = (low + p) * self.half
+                held: dict[int, set[bytes]] = {}
+                for d, score in self.search(own):
+                    for n, _ in self.parts[d]:
+                        if n not in held:
+                            held[n] = shingles(words[start : start + 2 * self.half], n)
+                    share = [len(x & held[n]) / len(x) if x else 1.0 for n, x in self.parts[d]]
+                    if share[0] >= question and share[1] >= answer:
+                        mine = (score, share[0], share[1], start)
+                        if d not in best or mine[:3] > best[d][:3]:
+                            best[d] = mine
         return [(self.ids[d], *x) for d, x in sorted(best.items())]
 
 
-def shards(benchmark: DataFrame, text: str, ident: str, size: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's rows, in lists of at most ``size``."""
-    block: list[tuple[int, str]] = []
+def indexes(benchmark: DataFrame, text: str, ident: str, threshold: float, part: int) -> Iterator[Index]:
+    """Indexes of at most ``part`` postings each (one item at least), of all the benchmark's rows."""
     rows = benchmark.filter(F.col(text).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident), F.col(text)).orderBy(ident, text)
+    whole = Statistics()
+    for r in rows.toLocalIterator():
+        whole.add(r[1])
+    own: list[tuple[Any, str]] = []
+    size = 0
     for r in rows.toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
+        n = len(set(words_of(r[1])))
+        if own and size + n > part:
+            yield Index(own, whole, threshold)
+            own, size = [], 0
+        own.append((r[0], r[1]))
+        size += n
+    if own:
+        yield Index(own, whole, threshold)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", ident: str = "doc_id", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, shard: int = SHARD) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", ident: str = "doc_id", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, part: int = PART) -> DataFrame:
     """Rows of ``ident``, ``item``, score, question_overlap, answer_overlap, passage_word: every verified pair."""
     spark = prepare(docs.sparkSession)
-    shape = f"`{ident}` long, `{item}` long, score double, question_overlap double, answer_overlap double, passage_word long"
+    kinds = [docs.schema[ident].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()]
+    shape = f"`{ident}` {kinds[0]}, `{item}` {kinds[1]}, score double, question_overlap double, answer_overlap double, passage_word long"
+    of_item = spark.createDataFrame([], benchmark.schema).select(item).toArrow().schema.field(0).type
     found = []
-    for rows in shards(benchmark, item_text, item, shard):
-        index = spark.sparkContext.broadcast(Index(rows))
+    for own in indexes(benchmark, item_text, item, threshold, part):
+        index = spark.sparkContext.broadcast(own)
 
         def query(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = [(i.as_py(), *m) for i, t in zip(batch.column(0), batch.column(1), strict=True) for m in index.value.match(t.as_py(), threshold, question, answer)]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], [ident, item, "score", "question_overlap", "answer_overlap", "passage_word"])
+                out = [(i.as_py(), *m) for i, t in zip(batch.column(0), batch.column(1), strict=True) for m in index.value.match(t.as_py(), question, answer)]
+                types = [batch.column(0).type, of_item, pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], [ident, item, "score", "question_overlap", "answer_overlap", "passage_word"])
 
-        found.append(docs.select(F.col(ident).cast("long"), F.col(text)).mapInArrow(query, shape))
+        found.append(docs.select(F.col(ident), F.col(text)).mapInArrow(query, shape))
     if not found:
         return spark.createDataFrame([], shape)
     return reduce(DataFrame.union, found).distinct()
 
 
-def _clean(index, threshold: float, question: float, answer: float):
+def _clean(index, question: float, answer: float):
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([not index.value.match(t, threshold, question, answer) for t in texts], dtype=bool)
+            yield pd.Series([not index.value.match(t, question, answer) for t in texts], dtype=bool)
 
     return clean
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, shard: int = SHARD) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, part: int = PART) -> DataFrame:
     """The rows of ``docs`` whose text holds no item; every row is judged by itself, so nothing is shuffled."""
     spark = prepare(docs.sparkSession)
-    for rows in shards(benchmark, item_text, item, shard):
-        docs = docs.filter(_clean(spark.sparkContext.broadcast(Index(rows)), threshold, question, answer)(F.coalesce(F.col(text), F.lit(""))))
+    for own in indexes(benchmark, item_text, item, threshold, part):
+        docs = docs.filter(_clean(spark.sparkContext.broadcast(own), question, answer)(F.coalesce(F.col(text), F.lit(""))))
     return docs

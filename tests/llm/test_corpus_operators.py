@@ -179,20 +179,105 @@ def test_a_passage_inside_lines_is_found(spark):
 # Decontamination
 
 
-def test_bm25_search_equals_exhaustive_scores():
+def exhaustive(index, terms):
+    """Scores of all items by plain addition over the postings of distinct terms."""
+    score = defaultdict(float)
+    for t in terms:
+        for d, x in zip(*index.postings[t][:2], strict=True):
+            score[d] += x
+    return score
+
+
+@pytest.mark.parametrize("block", [1, 3, 8, 64])
+def test_bm25_search_equals_exhaustive_scores(monkeypatch, block):
     rng = random.Random(9)
+    monkeypatch.setattr(decontam, "BLOCK", block)
     items = [(i, words(rng, rng.randint(3, 60), 150) + ".") for i in range(60)]
     index = decontam.Index(items)
     for _ in range(30):
         terms = sorted({index.term[w] for w in words(rng, 90, 150).encode().split() if w in index.term})
-        score = defaultdict(float)
-        for t in terms:
-            for own in index.postings[t].values():
-                for d, x in own:
-                    score[d] += x
-        want = {d: s for d, s in score.items() if s >= 0.4}
-        got = {d: s for block in range(index.blocks) for d, s in index.search(terms, block, 0.4)}
-        assert got.keys() == want.keys() and all(math.isclose(got[d], want[d]) for d in want)
+        for least in (0.05, 0.4, 0.7):
+            want = {d: s for d, s in exhaustive(index, terms).items() if s >= least}
+            got = dict(index.search(terms, least))
+            assert got.keys() == want.keys() and all(math.isclose(got[d], want[d]) for d in want)
+
+
+def test_search_skips_most_items(monkeypatch):
+    rng = random.Random(19)
+    index = decontam.Index([(i, words(rng, 40, 600) + ".") for i in range(2000)])
+    scored = [0]
+    terms = [index.term[w] for w in sorted({w for w in words(rng, 60, 600).encode().split() if w in index.term})]
+    want = exhaustive(index, terms)
+    monkeypatch.setattr(decontam, "fsum", lambda xs: [scored.__setitem__(0, scored[0] + 1), math.fsum(xs)][1])
+    assert set(dict(index.search(terms, 0.3))) == {d for d, s in want.items() if s >= 0.3}
+    assert scored[0] < 0.1 * len(want)
+
+
+def plain_matches(items, text):
+    """The whole query by brute force: every passage against every item, then the shares of shingles."""
+    whole = decontam.Statistics()
+    for _, t in items:
+        whole.add(t)
+    w, half, found = decontam.words_of(text), max(decontam.WINDOW, whole.longest), {}
+    for start in range(0, max(1, len(w) - half), half) if w else []:
+        passage = w[start : start + 2 * half]
+        for i, t in items:
+            own = decontam.words_of(t)
+            if not own:
+                continue
+            score = math.fsum(x for word, x in whole.impacts(own).items() if word in set(passage))
+            share = [len(x & decontam.shingles(passage, n)) / len(x) if x else 1.0 for n, x in decontam.parts_of(t)]
+            if score >= decontam.THRESHOLD - 1e-9 and share[0] >= decontam.QUESTION and share[1] >= decontam.ANSWER:
+                found[i] = max(found.get(i, (0,)), (score, *share))
+    return found
+
+
+def edited_items(rng, n):
+    items = [(i, words(rng, rng.randint(12, 60), 900).capitalize() + ". " + words(rng, rng.randint(1, 9), 900) + ".") for i in range(n)]
+    texts = []
+    for k in range(3 * n):
+        w = items[k % n][1].split()
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = f"w{rng.randint(0, 900)}"
+        texts.append((k, words(rng, rng.randint(0, 300), 900) + " " + " ".join(w) + " " + words(rng, rng.randint(0, 200), 900)))
+    return items, texts
+
+
+def test_whole_query_equals_brute_force(monkeypatch):
+    items, texts = edited_items(random.Random(11), 40)
+    monkeypatch.setattr(decontam, "SLICE", 2000)
+    index, n = decontam.Index(items), 0
+    for _, t in texts:
+        want = plain_matches(items, t)
+        got = {i: (s, q, a) for i, s, q, a, _ in index.match(t)}
+        assert got.keys() == want.keys() and all(math.isclose(got[i][0], want[i][0]) for i in want)
+        n += len(want)
+    assert 40 < n < 119
+
+
+def test_parts_of_an_index_change_no_row(spark):
+    items, texts = edited_items(random.Random(12), 60)
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in texts], "doc_id string, text string")  # identifiers of other types
+    bench = spark.createDataFrame([(f"i{i}", t) for i, t in items], "item_id string, text string")
+    whole, cut = (sorted(tuple(r) for r in decontam.contaminated(docs, bench, part=n).collect()) for n in (10**6, 300))
+    assert whole == cut and len(whole) > 60
+
+
+def test_memory_does_not_grow_with_a_text():
+    import tracemalloc
+
+    rng = random.Random(13)
+    index = decontam.Index([(i, words(rng, 40, 3000) + ".") for i in range(200)])
+    text = words(rng, 1000, 3000) + " "
+    peaks = []
+    for n in (200, 800):
+        long = decontam.words_of(text * n)
+        size = sum(map(len, long)) + 57 * len(long)
+        tracemalloc.start()
+        index.match(text * n)
+        peaks.append(tracemalloc.get_traced_memory()[1] - size)
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] + 60_000_000
 
 
 def test_planted_items_are_found_and_clean_texts_stay(spark):
@@ -205,7 +290,7 @@ def test_planted_items_are_found_and_clean_texts_stay(spark):
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r["doc_id"], r["item_id"]) for r in rows(decontam.contaminated(docs, bench))}
     assert got == {(1000 + k, k) for k in range(40)}
-    assert {(r["doc_id"], r["item_id"]) for r in rows(decontam.contaminated(docs, bench, shard=7))} == got
+    assert {(r["doc_id"], r["item_id"]) for r in rows(decontam.contaminated(docs, bench, part=90))} == got
     kept = [r["doc_id"] for r in rows(decontam.decontaminate(docs, bench))]
     assert len(kept) == len(clean) + 1 + len(AWKWARD) and not set(kept) & {d for d, _ in got}
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), bench).count() == 0
