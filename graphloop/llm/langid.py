@@ -2,8 +2,8 @@
 
 Each learned language has a codeword; a logistic classifier on hashed byte n-grams predicts each bit; loss-weighted
 decoding picks the language whose codeword has the least weighted logistic loss and flags texts where two languages come
-close. Fitting uses a bounded sample of the labelled rows (about ``SAMPLE`` rows, dealt over the languages by a hash of
-the identifier); prediction reads every whole text, in chunks of ``CHUNK`` bytes that share their edges.
+close. Every language that is labelled is learned. Fitting uses a bounded sample of the labelled rows (about ``SAMPLE`` rows,
+or ``EACH`` a language where that is more, drawn by a hash of the identifier); prediction reads every whole text, in chunks of ``CHUNK`` bytes that share their edges.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and not ambiguous; without any labelled row
 every text is ``und``; with one language every text with a letter is of that language; repeated rows give repeated
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from graphloop.llm.common import prepare, uniform
 
-#: Rows of the fitting sample, hashed columns (a power of two), most languages learned, bytes of a chunk.
-SAMPLE, COLUMNS_LOG2, MAX_LANGUAGES, CHUNK = 3000, 12, 128, 1 << 20
+#: Rows of the fitting sample, and least rows of a language there; hashed columns (a power of two), bytes of a chunk.
+SAMPLE, EACH, COLUMNS_LOG2, CHUNK = 3000, 20, 12, 1 << 20
 ORDERS = (2, 3, 4)
 #: A text is ambiguous when the second language's probability is over this share of the first's.
 AMBIGUOUS = 0.8
@@ -81,7 +81,8 @@ class Model:
         if len(self.languages) < 2:
             return np.zeros(len(x), int), np.ones(len(x)), np.zeros(len(x))
         margin = x @ self.weights + self.bias
-        loss = np.einsum("rlb,b->rl", np.logaddexp(0, -margin[:, None, :] * self.code[None]), self.trust)
+        # A bit costs log(1 + exp(-margin)) where the codeword has +1, and log(1 + exp(margin)) where it has -1.
+        loss = np.logaddexp(0, -margin) @ ((self.code > 0) * self.trust).T + np.logaddexp(0, margin) @ ((self.code < 0) * self.trust).T
         p = np.exp(loss.min(1, keepdims=True) - loss)
         p /= p.sum(1, keepdims=True)
         order = np.argsort(-p, axis=1, kind="stable")
@@ -115,16 +116,18 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 250) ->
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", ident: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fits a model on about ``sample`` rows of ``labelled``; every language gets an even share, rare ones all their rows."""
+    """Fits a model on about ``sample`` rows of ``labelled``; every language gets an even share, rare ones all their rows.
+
+    The languages themselves, and how often each is there, come to the driver.
+    """
     prepare(labelled.sparkSession)
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    sizes = sorted(((r[0], r[1]) for r in rows.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(MAX_LANGUAGES).collect()), key=lambda r: r[0])
+    sizes = sorted((r[0], r[1]) for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect())
     if not sizes:
         return Model([], codewords(0), np.zeros((1 << COLUMNS_LOG2, 0)), np.zeros(0), np.zeros(0))
-    share = sample / len(sizes)
-    chance = F.lit(0.0)
-    for name, n in sizes:
-        chance = F.when(F.col(lang) == name, share / n).otherwise(chance)
+    share = max(sample / len(sizes), EACH)
+    chances = F.create_map(*[x for name, n in sizes for x in (F.lit(name), F.lit(share / n))])
+    chance = F.coalesce(F.try_element_at(chances, F.col(lang)), F.lit(0.0))
 
     @F.pandas_udf("binary")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
