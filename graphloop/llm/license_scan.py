@@ -1,8 +1,10 @@
 """Licence scan: Aho-Corasick finds identifier tags and notice phrases; a shunting-yard parser evaluates SPDX expressions.
 
 Words are runs of 0-9, a-z (A-Z lower-cased) and non-ASCII characters. A phrase is found where its words stand one after
-the other. An ``SPDX-License-Identifier:`` tag is read to the end of its line, parsed with ``and``, ``or``, ``with`` and
-brackets, and adds the family of each licence it names; an expression that can't be parsed adds nothing.
+the other, and so is the identifier tag, the words SPDX License Identifier in any spelling. From the place of its hit the
+tag's expression is read, up to the end of the line: as far as licence identifiers, ``and``, ``or``, ``with`` and brackets go
+and make a whole expression (``MIT and this file`` is ``MIT``). It adds the family of each licence it names; what can't be
+parsed adds nothing. Identifiers are those of a known family, or spelt like one (``LicenseRef-x``, ``Foo-1.0``).
 
 Defined cases: a null text counts as an empty one (no words, no labels, score 0); repeated rows give repeated results;
 overlapping places all count; an empty table gives an empty result; other columns of the input are ignored.
@@ -40,8 +42,10 @@ PERMISSIVE = frozenset({"apache", "mit", "bsd", "isc", "bsl", "cc0", "unlicense"
 TAG = "spdx license identifier"
 #: How far a label can be relied on, by what it comes from.
 TRUST = {"tag": 0.95, "base": 0.8, "more": 0.7}
-_TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\n]*)", re.I)
+_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+|\S")
+#: How an identifier of no known family is spelt: with a number after a hyphen, or as a reference.
+_LIKE_ONE = re.compile(r"(?:LicenseRef-|DocumentRef-)[A-Za-z0-9.:-]+|[A-Za-z][A-Za-z0-9.]*(?:-[A-Za-z0-9.]+)*-[0-9][A-Za-z0-9.]*\+?(?:-[A-Za-z]+)*")
 _BIND = {"or": 1, "and": 2, "with": 3}
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -77,8 +81,7 @@ def to_postfix(expression: str) -> list[str]:
                 raise ExpressionError("bracket never opened")
             held.pop()
         elif operand:
-            if not any(c.isalnum() for c in token) or out:
-                break  # the expression is over; what follows is a comment's end or prose
+            raise ExpressionError(f"{token!r} after an operand")
         elif re.fullmatch(r"[A-Za-z0-9.+:-]*[A-Za-z0-9][A-Za-z0-9.+:-]*", token):
             out.append(token)
             operand = True
@@ -89,6 +92,26 @@ def to_postfix(expression: str) -> list[str]:
     return out + held[::-1]
 
 
+def expression_of(line: str) -> str:
+    """The longest beginning of a line that is a whole expression of licence identifiers; empty without one."""
+    end, depth, operand, exception = 0, 0, False, False
+    for m in _TOKEN.finditer(line):
+        token, low = m[0], m[0].lower()
+        if low in _BIND and operand:
+            operand, exception = False, low == "with"
+        elif token == "(" and not operand and not exception:
+            depth += 1
+        elif token == ")" and operand and depth:
+            depth -= 1
+        elif not operand and low not in _BIND and (family(token) or _LIKE_ONE.fullmatch(token) or exception and re.fullmatch(r"[A-Za-z0-9.+:-]*[A-Za-z0-9]", token)):
+            operand = True
+        else:
+            break
+        if operand and not depth:
+            end = m.end()
+    return line[:end]
+
+
 def evaluate(expression: str, allowed: frozenset[str] | None = None) -> tuple[set[str], bool]:
     """The families that an expression names, and whether its terms can be met within the ``allowed`` families.
 
@@ -146,6 +169,24 @@ class Scan:
     score: float = 0.0
 
 
+def _after(text: str, tags: list[int]) -> Iterator[str]:
+    """What follows each tag on its line. tags: the places of their first words, in order."""
+    if not tags:
+        return
+    raw = text.encode("utf-8", "surrogatepass")
+    last = [t + TAG.count(" ") for t in tags]
+    wanted = iter(last)
+    want = next(wanted)
+    for k, m in enumerate(_WORD.finditer(raw.translate(_CLEAN))):
+        if k == want:
+            end = raw.find(b"\n", m.end())
+            line = raw[m.end() : len(raw) if end < 0 else end].decode("utf-8", "replace")
+            yield line.lstrip(" \t\r:=\"'")
+            want = next(wanted, None)
+            if want is None:
+                return
+
+
 def scan_text(text: str | None) -> Scan:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_CLEAN).split()
     out = Scan(len(words))
@@ -153,25 +194,27 @@ def scan_text(text: str | None) -> Scan:
         return out
     joined = (b" " + b" ".join(words) + b" ").decode("latin-1")
     trust: dict[str, float] = {}
+    tags: list[int] = []
     at = word = 0
     for end, (size, label, kind) in sorted(automaton().iter(joined), key=lambda x: x[0] - x[1][0]):
         start = end - size + 1
         word, at = word + joined.count(" ", at, start), start
         if kind == "tag":
+            tags.append(word)
             continue
         if kind == "base":
             out.places.append(word)
             out.base.add(label)
         trust[label] = max(trust.get(label, 0), TRUST[kind])
-    if any(True for _ in _TAG_LINE.finditer(text or "")):
-        for m in _TAG_LINE.finditer(text or ""):
-            try:
-                names, free = evaluate(m[1])
-            except ExpressionError:
-                continue
-            out.expressions.append(m[1].strip())
-            out.permissive = free if out.permissive is None else out.permissive and free
-            trust.update({x: TRUST["tag"] for x in names})
+    for line in _after(text or "", tags):
+        try:
+            expression = expression_of(line)
+            names, free = evaluate(expression)
+        except ExpressionError:
+            continue
+        out.expressions.append(expression)
+        out.permissive = free if out.permissive is None else out.permissive and free
+        trust.update({x: TRUST["tag"] for x in names})
     out.labels = set(trust)
     miss = 1.0
     for x in trust.values():
