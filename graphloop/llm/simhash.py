@@ -138,22 +138,32 @@ def _digest(shingles: np.ndarray) -> int:
     return xxh64_intdigest(shingles.tobytes())
 
 
-def _sets(texts: DataFrame, row, fields: str) -> DataFrame:
-    """``row(digest, set)`` gives columns for each text (column _t); fields: their names and types."""
+def _sets(texts: DataFrame, row, fields: str, only=None) -> DataFrame:
+    """``row(digest, set)`` gives columns for each text (columns _h and _t); fields: their names and types.
+
+    only: a broadcast map of bits; texts whose bit of _h isn't set are passed over.
+    """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0):
-                wide = shingle_set(_words(t.as_py()))
+            wanted = range(batch.num_rows) if only is None else np.nonzero(_set_bits(only.value, batch.column(0).to_numpy().view(np.uint64)))[0].tolist()
+            for k in wanted:
+                wide = shingle_set(_words(batch.column(1)[k].as_py()))
                 yield row(np.uint64(_digest(wide)).astype(np.int64), wide)
 
-    return texts.select("_t").mapInArrow(made, fields)
+    return texts.select("_h", "_t").mapInArrow(made, fields)
+
+
+def _set_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key's bit in a ``_bitmap`` is set."""
+    at = keys >> np.uint64(64 - MAP_BITS)
+    return bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
 
 
 def _common(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles of a sample of ``n`` texts, sorted, with their counts; at most ``TOLD``."""
+    """For the order of shingles alone: the frequent ones of a sample of ``n`` texts, sorted, with their counts; at most ``TOLD``."""
     share = max(1, -(-n // COUNTED))
-    counted = texts.filter(F.pmod(F.xxhash64("_i"), F.lit(share)) == 0)
+    counted = texts.filter(F.pmod(F.xxhash64("_h"), F.lit(share)) == 0)
     each = _sets(counted, lambda _, wide: pa.RecordBatch.from_arrays([pa.array(wide.view(np.int64))], ["key"]), "key long")
     counts = materialise(each.groupBy("key").count().filter("count > 3"), "counts")
     least, left = 4, TOLD
@@ -174,15 +184,18 @@ def histogram(wide: np.ndarray) -> bytes:
     return np.minimum(np.bincount((wide >> np.uint64(56)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of digests whose shingle sets (digest, wide, parts) have at least that Jaccard similarity, as a table.
+def _at_least(similarity: float, shared: float, both: int) -> bool:
+    return shared >= similarity * (both - shared) - 1e-9
 
-    Two sets share no more in any part than the lesser has there. That bound, over rows of a tenth of a set's size, drops
-    most pairs before whole sets are joined to those left.
-    """
 
-    def at_least(shared: float, both: int) -> bool:
-        return shared >= similarity * (both - shared) - 1e-9
+def _joined(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) of digests with these columns of both, _<column>_a and _<column>_b."""
+    one, two = (sets.select(F.col("digest").alias(f"_{k}"), *[F.col(c).alias(f"_{c}_{k}") for c in columns]) for k in "ab")
+    return pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
+
+
+def _allowed(pairs: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose histograms allow that similarity: two sets share no more in any part than the lesser has there."""
 
     @F.pandas_udf("boolean")
     def allowed(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -190,7 +203,13 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, PARTS) for v in (left, right))
             least = np.minimum(x, y)
             bound = np.where((least == 255).any(1), np.minimum(n, m), least.sum(1, dtype=np.int64))
-            yield pd.Series([at_least(s, b) for s, b in zip(bound.tolist(), (n + m).tolist(), strict=True)], dtype=bool)
+            yield pd.Series([_at_least(similarity, s, b) for s, b in zip(bound.tolist(), (n + m).tolist(), strict=True)], dtype=bool)
+
+    return _joined(pairs, parts, "parts", "size").filter(allowed("_parts_a", "_parts_b", "_size_a", "_size_b")).select("a", "b").distinct()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of digests whose whole shingle sets (digest, wide) have at least that Jaccard similarity."""
 
     @F.pandas_udf("boolean")
     def reached(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -198,17 +217,10 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             out = []
             for x, y in zip(left, right, strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                out.append(at_least(len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)))
+                out.append(_at_least(similarity, len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)))
             yield pd.Series(out, dtype=bool)
 
-    def joined(pairs: DataFrame, *columns: str) -> DataFrame:
-        one, two = (sets.select(F.col("digest").alias(f"_{k}"), *[F.col(c).alias(f"_{c}_{k}") for c in columns]) for k in "ab")
-        return pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
-
-    few = materialise(joined(pairs, "parts", "size").filter(allowed("_parts_a", "_parts_b", "_size_a", "_size_b")).select("a", "b"), "allowed")
-    out = materialise(joined(few, "wide").filter(reached("_wide_a", "_wide_b")).select("a", "b").distinct(), "links")
-    release(few)
-    return out
+    return _joined(pairs, sets, "wide").filter(reached("_wide_a", "_wide_b")).select("a", "b").distinct()
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -234,41 +246,46 @@ def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str
     rows without an identifier or words take no part. The second list has the tables to release when the first is used.
     """
     own = sketched.filter(F.col(ident).isNotNull() & (F.col("size") > 0))
-    chosen = materialise(own.groupBy("digest").agg(F.min(ident).alias("_id"), F.min("fp").alias("f")), "chosen")
+    chosen = materialise(own.groupBy("digest").agg(F.min(ident).alias("_id"), F.min("fp").alias("f")).select("digest", F.xxhash64("_id").alias("_h"), "f"), "chosen")
     of = chosen.select(F.col("digest").alias("_d"), "f")
     # One set of shingles may have several fingerprints.
     found = [own.select("digest", "fp").distinct().join(of, F.col("digest") == F.col("_d")).select(F.col("fp").alias("fa"), F.col("f").alias("fb"))]
-    texts = df.select(F.col(ident).alias("_i"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull()).join(chosen.select("_id"), F.col("_i") == F.col("_id"), "left_semi")
+    # Texts are never shuffled: they are read where they lie, once for each table that is made of them.
+    texts = df.filter(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(F.col(ident)).alias("_h"), F.col(text).alias("_t"))
     common, times = _common(texts, chosen.count())
+    send = df.sparkSession.sparkContext.broadcast
 
     def first(wide: np.ndarray) -> np.ndarray:
         often = np.zeros(len(wide), np.int64)
         if len(common):
             at = np.minimum(np.searchsorted(common, wide), len(common) - 1)
             often = np.where(common[at] == wide, times[at], 0)
-        return wide[np.lexsort((wide, often))][: prefix_length(len(wide), similarity)].view(np.int64)
+        return wide[np.lexsort((wide, often))][: prefix_length(len(wide), similarity)]
 
     # Most shingles are in one text only. They are told by a count of shingles alone and, of fixed size, a map of those that
-    # aren't; what the map lets pass wrongly goes with the join. Texts are read again, which keeps the wider rows few.
-    counted = _sets(texts, lambda _, wide: pa.RecordBatch.from_arrays([pa.array(first(wide))], ["key"]), "key long")
-    shared = materialise(counted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
-    seen = df.sparkSession.sparkContext.broadcast(_bitmap(shared))
+    # aren't, which keeps the wider rows of postings few. Copies and what the map lets pass wrongly go with the second count.
+    counted = _sets(texts, lambda _, wide: pa.RecordBatch.from_arrays([pa.array(first(wide).view(np.int64))], ["key"]), "key long")
+    seen = send(_bitmap(counted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")))
 
     def posted(digest: np.int64, wide: np.ndarray) -> pa.RecordBatch:
         keys = first(wide)
-        at = keys.view(np.uint64) >> np.uint64(64 - MAP_BITS)
-        place = np.nonzero(seen.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))[0]
+        place = np.nonzero(_set_bits(seen.value, keys))[0]
         n = len(place)
-        return pa.RecordBatch.from_arrays([pa.array(keys[place]), pa.array(np.full(n, digest)), pa.array(np.full(n, len(wide), np.int32)), pa.array(place.astype(np.int32))], ["key", "digest", "size", "place"])
-
-    postings = _sets(texts, posted, "key long, digest long, size int, place int")
-    left = materialise(postings.join(shared.select(F.col("key").alias("_key")), F.col("key") == F.col("_key"), "left_semi").withColumn("group", F.col("digest")), "buckets")
-    release(shared)
-    few = left.select(F.col("digest").alias("_d")).distinct().join(chosen, F.col("digest") == F.col("_d")).select("_id")
-    some = texts.join(few.withColumnRenamed("_id", "_few"), F.col("_i") == F.col("_few"), "left_semi")
-    row = lambda digest, wide: pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([wide.tobytes()], pa.binary()), pa.array([histogram(wide)], pa.binary()), pa.array([len(wide)], pa.int32())], ["digest", "wide", "parts", "size"])
-    sets = _sets(some, row, "digest long, wide binary, parts binary, size int")
-    sets = materialise(sets.dropDuplicates(["digest"]), "shingles")
+        return pa.RecordBatch.from_arrays([pa.array(keys[place].view(np.int64)), pa.array(np.full(n, digest)), pa.array(np.full(n, len(wide), np.int32)), pa.array(place.astype(np.int32))], ["key", "digest", "size", "place"])
+
+    postings = materialise(_sets(texts, posted, "key long, digest long, size int, place int").distinct(), "postings")
+    shared = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_key"))
+    left = materialise(postings.join(shared, F.col("key") == F.col("_key"), "left_semi").withColumn("group", F.col("digest")), "buckets")
+    release(postings)
+
+    def sets_of(digests: DataFrame, row, fields: str, label: str) -> DataFrame:
+        """Sets of these digests (column _d), and a few more, read from the row of each one's least identifier."""
+        rows = digests.distinct().join(chosen, F.col("_d") == F.col("digest")).select(F.col("_h").alias("key"))
+        return materialise(_sets(texts, row, fields, send(_bitmap(rows))).dropDuplicates(["digest"]), label)
+
+    histograms = lambda digest, wide: pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([histogram(wide)], pa.binary()), pa.array([len(wide)], pa.int32())], ["digest", "parts", "size"])
+    wholes = lambda digest, wide: pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([wide.tobytes()], pa.binary())], ["digest", "wide"])
+    parts = sets_of(left.select(F.col("digest").alias("_d")), histograms, "digest long, parts binary, size int", "histograms")
     member = F.struct("group", "digest", "size", "place")
     links, used = None, [chosen]
     for k in range(ROUNDS + 1):
@@ -282,8 +299,12 @@ def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str
             led = left.select("key", member.alias("y")).join(x, (F.col("key") == F.col("_key")) & (F.col("x.group") < F.col("y.group")) & _possible("x", "y", similarity)).select("x", "y")
         met = led.filter((F.col("x.group") != F.col("y.group")) & _possible("x", "y", similarity))
         pairs = materialise(met.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct(), "pairs")
-        linked = _alike(pairs, sets, similarity)
+        few = materialise(_allowed(pairs, parts, similarity), "allowed")
         release(pairs)
+        sets = sets_of(few.select(F.explode(F.array("a", "b")).alias("_d")), wholes, "digest long, wide binary", "shingles")
+        linked = materialise(_alike(few, sets, similarity), "links")
+        release(few)
+        release(sets)
         used.append(linked)
         two = of.select(F.col("_d").alias("_e"), F.col("f").alias("fb"))
         found.append(linked.join(of, F.col("a") == F.col("_d")).join(two, F.col("b") == F.col("_e")).select(F.col("f").alias("fa"), "fb"))
@@ -298,7 +319,7 @@ def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str
         before, left = left, materialise(moved.join(mixed, F.col("key") == F.col("_key"), "left_semi"), "buckets")
         release(before)
         release(moved)
-    release(sets)
+    release(parts)
     used.append(left)
     return found, used
 
