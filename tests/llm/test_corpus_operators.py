@@ -313,23 +313,61 @@ def test_raking_meets_all_marginals():
     assert full["a", "x", "p"] == 1.0 and mixing.rake({}, targets) == {}
 
 
-def test_mix_equals_brute_force(spark):
+def plain_rake(mass, source, lang, topic, budget):
+    """Raking over a dense array, some rounds of it, for cells that never fill up."""
+    import numpy as np
+
+    axes = [sorted({c[d] for c in mass}) for d in range(3)]
+    m = np.zeros([len(x) for x in axes])
+    for c, v in mass.items():
+        m[tuple(x.index(k) for x, k in zip(axes, c, strict=True))] = v
+    have, want = m * budget, budget * m.sum()
+    for _ in range(3000):
+        for d, named in enumerate((source, lang, topic)):
+            goal = np.array([named[k] for k in axes[d]], float)
+            sums = have.sum(tuple(i for i in range(3) if i != d))
+            shape = [-1 if i == d else 1 for i in range(3)]
+            have = have * (want * goal / goal.sum() / sums).reshape(shape)
+    return {c: float(have[tuple(x.index(k) for x, k in zip(axes, c, strict=True))] / v) for c, v in mass.items()}
+
+
+TOPICS = {"law": "a Licence", "technology": "some PASSWORD", "commerce": "5 $", "contact": "me@x", "news": "the President", "general": "plain"}
+
+
+def plain_topic(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return next((t for t, own in mixing.TOPIC_WORDS.items() if any(w in low for w in own)), "general")
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_mix_equals_brute_force(spark, named):
     import hashlib
 
     rng = random.Random(12)
-    data = [(i, words(rng, rng.choice([5, 60, 300])), rng.choice(["en", "de", None, "xx"]), rng.choice(["src0", "src1", "zzz", None]), 0) for i in range(300)] + [(None, "x", "en", "src0", 1), (7, None, "en", "src0", 0)]
+    data = [(i, f"{rng.choice(list(TOPICS.values()))} " + words(rng, rng.choice([5, 60, 300])), rng.choice(["en", "en", "de", None]), rng.choice(["web", "web", "web", "books", None]), 0) for i in range(600)] + [(None, "x", "en", "web", 1), (7, None, "en", "web", 0), (7, None, "en", "web", 0)]
+    targets = mixing.Targets({"web": 3, "other": 2}, {"en": 2, "other": 1}, {"law": 2, "general": 3, "other": 4}, budget=0.1) if named else None
     df = spark.createDataFrame(data, DOCS)
-    name = lambda x, named: x if x in named and x != mixing.OTHER else mixing.OTHER
-    cell = lambda r: (name(r[3], mixing.SOURCES), name(r[2], mixing.LANGUAGES), "note" if len((r[1] or "").split()) < 40 else "prose")
+    group = lambda x, d: (x or "other") if targets is None else x if x in d and x != "other" else "other"
+    cell = lambda r: (group(r[3], targets and targets.source), group(r[2], targets and targets.lang), group(plain_topic(r[1]), targets and targets.topic))
     mass = defaultdict(float)
     for r in data:
         mass[cell(r)] += len((r[1] or "").split())
-    p = mixing.rake(mass, mixing.DEFAULT)
+    mass = {c: v for c, v in mass.items() if v}
+    if targets is None:
+        power = lambda d: {k: sum(v for c, v in mass.items() if c[d] == k) ** 0.7 for k in {c[d] for c in mass}}
+        targets = mixing.Targets(power(0), power(1), power(2), 0.1)
+        assert {c[2] for c in mass} == set(TOPICS)
+        p = plain_rake(mass, targets.source, targets.lang, targets.topic, 0.1)
+        drawn, sampled = mixing.mix(df, mixing.targets_of(mass, budget=0.1)), mixing.sample(df.withColumn("topic", F.lit("clash")), mixing.targets_of(mass, budget=0.1))
+    else:
+        p = plain_rake(mass, targets.source, targets.lang, targets.topic, 0.1)
+        drawn, sampled = mixing.mix(df, targets), mixing.sample(df.withColumn("topic", F.lit("clash")), targets)
+    assert max(p.values()) < 1
     draw = lambda i: int(hashlib.md5(("null" if i is None else str(i)).encode()).hexdigest()[:8], 16) / 2**32
-    want = sorted((str(r[0]), round(p[cell(r)], 9), draw(r[0]) < p[cell(r)]) for r in data)
-    got = sorted((str(r["doc_id"]), round(r["probability"], 9), r["kept"]) for r in rows(mixing.mix(df)))
-    assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in want] and all(math.isclose(x[1], y[1], abs_tol=1e-8) for x, y in zip(got, want, strict=True))
-    assert sorted(str(r["doc_id"]) for r in rows(mixing.sample(df.withColumn("topic", F.lit("clash"))))) == sorted(str(r[0]) for r in data if draw(r[0]) < p[cell(r)])
+    want = sorted((str(r[0]), p.get(cell(r), 0), draw(r[0]) < p.get(cell(r), 0)) for r in data)
+    got = sorted((str(r["doc_id"]), r["probability"], r["kept"]) for r in rows(drawn))
+    assert len(got) == len(data) and all(x[0] == y[0] and x[2] == y[2] and math.isclose(x[1], y[1], abs_tol=1e-6) for x, y in zip(got, want, strict=True))
+    assert sorted(str(r["doc_id"]) for r in rows(sampled)) == [i for i, _, kept in want if kept] and any(k for _, _, k in want)
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.sample(df.limit(0)).count() == 0
 
 
