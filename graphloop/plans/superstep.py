@@ -5,9 +5,14 @@ vertices with their out-edges, combined by a partial and a final aggregation on
 the new state is written as a Parquet snapshot. The snapshot cuts the lineage, survives lost executors and is what a
 resumed run starts from. A second, small action over the snapshot gives the vote to halt and the global aggregates.
 
-``Plan.FULL_SCAN`` joins messages with all vertices (full outer). ``Plan.FRONTIER`` touches only vertices with a message or
-without a vote to halt: adaptive execution broadcasts a small frontier, and the untouched rest passes without a shuffle.
-``Plan.AUTO`` takes the frontier when under ``AUTO_RATIO`` of the vertices are active.
+``Plan.FULL_SCAN`` joins messages with all vertices (full outer) and writes all of them. ``Plan.FRONTIER`` touches only
+vertices with a message or without a vote to halt: it writes them as a change to the last whole snapshot, with earlier
+changes that still count, and the untouched rest is neither shuffled nor written. Changes of over ``COMPACT`` of the vertices
+are merged into a whole snapshot. ``Plan.AUTO`` takes the frontier when under ``AUTO_RATIO`` of the vertices are active.
+
+Edges are dealt once, by source and a salt: a source with n out-edges has one salt for every ``SPLIT`` of them, and its row
+is repeated for each when it sends, so a hub's edges are spread over tasks. Programs may mutate the graph between
+supersteps: vertices delete themselves, add others, and add or remove edges of their own.
 """
 
 from __future__ import annotations
@@ -22,10 +27,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloop.graph import Graph
-from graphloop.operators.combine import combiner
+from graphloop.operators.combine import UserCombiner, combine_messages, combiner
 from graphloop.scratch import new_path, remove
 
-AUTO_RATIO = 0.2
+AUTO_RATIO, COMPACT, SPLIT = 0.2, 0.25, 20_000
 
 
 class Plan(Enum):
@@ -52,11 +57,14 @@ class VertexProgram:
     and no edges, unless ``create_missing`` is off.
     """
 
-    #: State columns and their SQL types; a message's SQL type; how messages to one vertex are combined.
+    #: State columns and their SQL types; a message's SQL type; how messages to one vertex are combined (a name, a function
+    #: of a column, or a ``UserCombiner``).
     state: dict[str, str] = {"value": "double"}
     message_type = "double"
-    combine = "sum"
+    combine: str | Callable[[Column], Column] | UserCombiner = "sum"
     create_missing = True
+    #: Whether the methods below that mutate the graph are asked.
+    mutates = False
 
     def compute(self, ctx: Context) -> dict[str, Column]:
         """New values of state columns for active vertices."""
@@ -86,6 +94,33 @@ class VertexProgram:
         """Whether the job ends after this superstep whatever the votes."""
         return False
 
+    def deletes(self, ctx: Context) -> Column:
+        """Whether an active vertex deletes itself, and its out-edges, after this superstep."""
+        return F.lit(False)
+
+    def adds_vertices(self, ctx: Context) -> Column | None:
+        """An array of structs of id and state columns: vertices that an active vertex adds. They are awake, replace one of
+        their identifier, and take part from the next superstep on; deletes come before. Messages sent to them arrive."""
+        return None
+
+    def sends_to(self, ctx: Context) -> Column | None:
+        """An array of structs (to, msg): messages of an active vertex to any vertices, besides those along edges."""
+        return None
+
+    def adds_edges(self, ctx: Context) -> Column | None:
+        """An array of structs (dst, value): out-edges that an active vertex adds to its own."""
+        return None
+
+    def keeps_edge(self, ctx: Context) -> Column | None:
+        """Over an active vertex's state and its edges' ``dst`` and ``edge_value``: whether an edge stays."""
+        return None
+
+    def before_superstep(self, ctx: Context) -> None:
+        """Runs on the driver before each superstep."""
+
+    def end_superstep(self, ctx: Context, aggregates: dict) -> None:
+        """Runs on the driver after each superstep, with its aggregates."""
+
 
 @dataclass
 class Result:
@@ -95,17 +130,43 @@ class Result:
     plans: list[str]
 
 
-def _out_edges(graph: Graph) -> DataFrame:
-    return graph.edges.select("src", "dst", F.col("value").alias("edge_value"))
+def _salts(degree: str) -> Column:
+    """How many salts the out-edges of a source with that many have."""
+    return F.greatest(F.ceil(F.col(degree) / F.lit(SPLIT)), F.lit(1)).cast("int")
+
 
+def _deal(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst, edge_value) dealt by source and salt, cached; and the out-degrees (_src, out_degree).
 
-def _messages(sent: DataFrame, edges: DataFrame, program: VertexProgram, ctx: Context) -> DataFrame:
+    Lost parts are computed again. The joins of all supersteps then move vertices only.
+    """
+    degrees = edges.groupBy(F.col("src").alias("_src")).agg(F.count("*").alias("out_degree"))
+    hubs = degrees.filter(F.col("out_degree") > SPLIT).select(F.col("_src").alias("_hub"), _salts("out_degree").alias("_n"))
+    salted = edges.join(hubs, F.col("src") == F.col("_hub"), "left")
+    salt = F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.col("_n"))).cast("int")
+    dealt = salted.select("src", salt.alias("salt"), "dst", "edge_value").repartition("src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    return dealt, dealt.groupBy(F.col("src").alias("_src")).agg(F.count("*").alias("out_degree"))
+
+
+def _along(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` of vertices with id and out_degree, joined with their out-edges."""
+    salted = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), _salts("out_degree") - 1)))
+    return salted.join(edges, (F.col("id") == F.col("src")) & (F.col("_salt") == F.col("salt"))).drop("_salt", "salt", "src")
+
+
+def _messages(state: DataFrame, edges: DataFrame, program: VertexProgram, ctx: Context) -> DataFrame:
     """(to, msg): combined messages of the vertices that sent in the superstep of ``ctx``."""
-    joined = sent.filter("sent").join(edges, F.col("id") == F.col("src"))
+    joined = _along(state.filter(F.col("sent") & (F.col("at") == ctx.superstep)), edges)
     along = program.send_along(ctx)
     rows = joined if along is None else joined.filter(along)
     checked = rows.select(F.col("dst").alias("to"), F.assert_true(program.message(ctx).isNotNull(), "a message is null").alias("_ok"), program.message(ctx).cast(program.message_type).alias("m"))
-    return checked.filter(F.col("_ok").isNull()).groupBy("to").agg(combiner(program.combine)(F.col("m")).alias("msg"))
+    sent = checked.filter(F.col("_ok").isNull()).select("to", "m")
+    if program.mutates and program.sends_to(ctx) is not None:
+        own = state.filter((F.col("at") == ctx.superstep) & F.col("mail").isNotNull()).select(F.explode("mail").alias("x"))
+        sent = sent.union(own.select(F.col("x.to").cast("bigint"), F.col("x.msg").cast(program.message_type)))
+    if isinstance(program.combine, UserCombiner):
+        return combine_messages(sent, program.combine, "to", "m").withColumnRenamed("m", "msg")
+    return sent.groupBy("to").agg(combiner(program.combine)(F.col("m")).alias("msg"))
 
 
 def _compute(rows: DataFrame, program: VertexProgram, ctx: Context) -> DataFrame:
@@ -117,25 +178,81 @@ def _compute(rows: DataFrame, program: VertexProgram, ctx: Context) -> DataFrame
     state = {c: F.when(F.col("_active"), new[c].cast(t)).otherwise(F.col(c)) if c in new else F.col(c).cast(t) for c, t in program.state.items()}
     rows = rows.withColumns(state)
     sent = F.col("_active") & (F.col("out_degree") > 0) & F.coalesce(program.sends(ctx), F.lit(False))
-    rows = rows.withColumns({"sent": sent, "halted": F.when(F.col("_active"), program.halt(ctx)).otherwise(True)})
-    return rows.select("id", *program.state, "halted", "sent", "out_degree")
+    rows = rows.withColumns({"sent": sent, "halted": F.when(F.col("_active"), program.halt(ctx)).otherwise(True), "at": F.lit(ctx.superstep)})
+    extra = {}
+    if program.mutates:
+        mail, vertices, links = program.sends_to(ctx), program.adds_vertices(ctx), program.adds_edges(ctx)
+        keeps = program.keeps_edge(ctx)
+        extra = {"gone": F.col("_active") & F.coalesce(program.deletes(ctx), F.lit(False)), "mail": mail, "new": vertices, "links": links, "checks": F.col("_active") & F.lit(keeps is not None)}
+        extra = {k: (v if k in ("gone", "checks") else F.lit(None) if v is None else F.when(F.col("_active"), v)) for k, v in extra.items()}
+    return rows.select("id", *program.state, "halted", "sent", "out_degree", "at", *[v.alias(k) for k, v in extra.items()])
 
 
 def _step(before: DataFrame, edges: DataFrame, program: VertexProgram, ctx: Context, last: Context, plan: Plan) -> DataFrame:
+    """The new state of all vertices (full scan), or of those that are touched (frontier)."""
     messages = _messages(before, edges, program, last)
     columns = ["id", *program.state, "halted", "out_degree"]
     state = before.select(*columns)
     if plan is Plan.FULL_SCAN:
         joined = state.join(messages, F.col("id") == F.col("to"), "full_outer" if program.create_missing else "left")
         return _compute(joined.withColumn("id", F.coalesce("id", "to")).drop("to"), program, ctx)
-    awake = state.filter(~F.col("halted")).select(F.col("id").alias("to"))
-    touched = messages.join(awake.withColumnRenamed("to", "_awake"), F.col("to") == F.col("_awake"), "full_outer").select(F.coalesce("to", "_awake").alias("to"), "msg")
+    awake = state.filter(~F.col("halted")).select(F.col("id").alias("_awake"))
+    touched = messages.join(awake, F.col("to") == F.col("_awake"), "full_outer").select(F.coalesce("to", "_awake").alias("to"), "msg")
     hit = state.join(touched, F.col("id") == F.col("to")).drop("to")
     if program.create_missing:
         unknown = touched.join(state.select("id"), F.col("id") == F.col("to"), "left_anti")
         hit = hit.unionByName(unknown.withColumnRenamed("to", "id"), allowMissingColumns=True)
-    rest = state.join(touched.select("to"), F.col("id") == F.col("to"), "left_anti")
-    return _compute(hit, program, ctx).unionByName(rest.withColumn("sent", F.lit(False)))
+    return _compute(hit, program, ctx)
+
+
+@dataclass
+class State:
+    """All vertices: a whole snapshot, and the rows that have changed since, which take the place of its own."""
+
+    whole: DataFrame
+    whole_path: str
+    changed: DataFrame | None = None
+    changed_path: str | None = None
+
+    def rows(self) -> DataFrame:
+        if self.changed is None:
+            return self.whole
+        return _without(self.whole, self.changed).unionByName(self.changed)
+
+    def paths(self) -> set[str]:
+        return {p for p in (self.whole_path, self.changed_path) if p}
+
+
+def _without(rows: DataFrame, others: DataFrame) -> DataFrame:
+    return rows.join(others.select(F.col("id").alias("_other")), F.col("id") == F.col("_other"), "left_anti")
+
+
+def _mutated(made: DataFrame, edges: DataFrame, program: VertexProgram, ctx: Context, run_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges after the mutations that the rows of ``made`` (a snapshot) ask for."""
+    gone = made.filter("gone").select("id")
+    kept = _without(made, gone)
+    changed = None
+    keeps = program.keeps_edge(ctx)
+    if keeps is not None or program.adds_edges(ctx) is not None or not gone.isEmpty():
+        plain = edges.select("src", "dst", "edge_value")
+        left = plain.join(gone.withColumnRenamed("id", "_other"), F.col("src") == F.col("_other"), "left_anti")
+        if keeps is not None:
+            judged = _along(made.filter("checks"), edges).filter(~F.coalesce(keeps, F.lit(True))).select(F.col("id").alias("_s"), F.col("dst").alias("_d")).distinct()
+            left = left.join(judged, (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d")), "left_anti")
+        if program.adds_edges(ctx) is not None:
+            added = kept.filter("links is not null").select("id", F.explode("links").alias("x"))
+            left = left.union(added.select("id", F.col("x.dst").cast("bigint"), F.col("x.value").cast(edges.schema["edge_value"].dataType)))
+        changed = _snapshot(left, f"{run_dir}/edges-{ctx.superstep}")
+    if program.adds_vertices(ctx) is not None:
+        new = made.filter("new is not null").select(F.explode("new").alias("x"))
+        state = [F.col(f"x.{c}").cast(t).alias(c) for c, t in program.state.items()]
+        new = new.select(F.col("x.id").cast("bigint").alias("id"), *state, F.lit(False).alias("halted"), F.lit(False).alias("sent"), F.lit(0).cast("bigint").alias("out_degree"), F.lit(ctx.superstep).alias("at")).dropDuplicates(["id"])
+        kept = _without(kept, new).unionByName(new, allowMissingColumns=True)
+    if changed is None:
+        return kept.drop("gone", "new", "links", "checks"), edges
+    dealt, degrees = _deal(changed)
+    kept = kept.drop("out_degree").join(degrees, F.col("id") == F.col("_src"), "left").drop("_src").withColumn("out_degree", F.coalesce("out_degree", F.lit(0).cast("long")))
+    return kept.drop("gone", "new", "links", "checks"), dealt
 
 
 def _snapshot(df: DataFrame, path: str) -> DataFrame:
@@ -146,7 +263,9 @@ def _snapshot(df: DataFrame, path: str) -> DataFrame:
 def _barrier(state: DataFrame, program: VertexProgram, ctx: Context) -> dict:
     """Votes, active vertices, counts and the program's aggregates in one action."""
     own = {f"a_{k}": v for k, v in program.aggregates(ctx).items()}
-    row = state.agg(F.count("*").alias("n"), F.sum(F.col("sent").cast("long")).alias("sending"), F.sum((~F.col("halted")).cast("long")).alias("awake"), *[v.alias(k) for k, v in own.items()]).first().asDict()
+    mail = F.col("mail").isNotNull() if "mail" in state.columns else F.lit(False)
+    sending = (F.col("sent") | mail) & (F.col("at") == ctx.superstep)
+    row = state.agg(F.count("*").alias("n"), F.sum(sending.cast("long")).alias("sending"), F.sum((~F.col("halted")).cast("long")).alias("awake"), *[v.alias(k) for k, v in own.items()]).first().asDict()
     return {"n": row["n"], "sending": row["sending"] or 0, "awake": row["awake"] or 0, "own": {k[2:]: row[k] for k in own}}
 
 
@@ -172,53 +291,95 @@ def run_program(
     """
     spark = graph.vertices.sparkSession
     run_dir = resume or run_dir or new_path(spark, "run")
-    # Dealt by source once: the joins of all supersteps then move vertices only. Lost parts are computed again.
-    edges = _out_edges(graph).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
-    degrees = edges.groupBy(F.col("src").alias("_src")).agg(F.count("*").alias("out_degree"))
+    edges, degrees = _deal(graph.edges.select("src", "dst", F.col("value").alias("edge_value")))
     done, aggregates, names = _last_snapshot(spark, run_dir) if resume else (0, {}, [])
     if not done:
         v, e = graph.counts()
         counts = num_vertices or v, num_edges or e
     else:
         counts = tuple(aggregates.pop("_counts"))
-    state = spark.read.parquet(f"{run_dir}/{done}") if done else None
+        if program.mutates:
+            edges, _ = _deal(spark.read.parquet(f"{run_dir}/edges-kept-{done}"))
+    state = State(spark.read.parquet(f"{run_dir}/{done}"), f"{run_dir}/{done}") if done else None
     ctx = Context(done, *counts, max_supersteps, aggregates)
-    barrier = _barrier(state, program, ctx) if done else {}
+    barrier = _barrier(state.rows(), program, ctx) if done else {}
     chosen: list[str] = list(names)
+    edges_at = 0
+    keeps = lambda n: bool(n and (keep_every and n % keep_every == 0 or keep_when is not None and keep_when(n)))
     while not done or (done < max_supersteps and (barrier["sending"] or barrier["awake"]) and not program.stop(ctx, ctx.aggregates)):
         last, ctx = ctx, Context(done + 1, *counts, max_supersteps, ctx.aggregates)
+        program.before_superstep(ctx)
         for attempt in range(max_retries + 1):
             try:
-                if not done:
-                    start = graph.vertices.select("id", *[(F.col(c) if c in graph.vertices.columns else F.lit(None)).cast(t).alias(c) for c, t in program.state.items()])
-                    rows = start.join(degrees, F.col("id") == F.col("_src"), "left").drop("_src").withColumns({"halted": F.lit(False), "msg": F.lit(None).cast(combined_type(program))})
-                    made, name = _compute(rows, program, ctx), "scan"
-                else:
-                    busy = barrier["sending"] + barrier["awake"]
-                    way = plan if plan is not Plan.AUTO else Plan.FRONTIER if busy < AUTO_RATIO * barrier["n"] else Plan.FULL_SCAN
-                    made, name = _step(state, edges, program, ctx, last, way), way.value
-                new = _snapshot(made, f"{run_dir}/{ctx.superstep}")
-                barrier = _barrier(new, program, ctx)
+                new, name, after = _advance(graph, program, state, edges, degrees, ctx, last, plan, barrier, run_dir, keeps(ctx.superstep))
+                barrier = _barrier(new.rows(), program, ctx)
                 break
             except Exception as error:
                 if attempt == max_retries or not recoverable(error):
                     raise
         chosen.append(name)
         ctx = Context(ctx.superstep, *counts, max_supersteps, barrier["own"])
-        kept = keep_every and done and done % keep_every == 0 or keep_when is not None and done and keep_when(done)
-        if done and not kept:
-            remove(spark, f"{run_dir}/{done}")
+        for path in (state.paths() if state else set()) - new.paths():
+            name = path.rpartition("/")[2]
+            if not (name.isdigit() and keeps(int(name))):
+                remove(spark, path)
+        if after is not edges:
+            edges.unpersist()
+            if edges_at:
+                remove(spark, f"{run_dir}/edges-{edges_at}")
+            edges, edges_at = after, ctx.superstep
         done, state = ctx.superstep, new
-        if keep_every and done % keep_every == 0 or keep_when is not None and keep_when(done):
+        if keeps(done):
+            if program.mutates:
+                _snapshot(edges.select("src", "dst", "edge_value"), f"{run_dir}/edges-kept-{done}")
             meta = json.dumps({"superstep": done, "aggregates": barrier["own"] | {"_counts": list(counts)}, "plans": chosen}, default=str)
             spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{run_dir}/meta-{done:09d}")
+        program.end_superstep(ctx, barrier["own"])
         if on_superstep:
             on_superstep(ctx, barrier)
     edges.unpersist()
-    return Result(state.select("id", *program.state), done, ctx.aggregates, chosen)
+    return Result(state.rows().select("id", *program.state), done, ctx.aggregates, chosen)
+
+
+def _advance(graph: Graph, program: VertexProgram, state: State | None, edges: DataFrame, degrees: DataFrame, ctx: Context, last: Context, plan: Plan, barrier: dict, run_dir: str, keep: bool) -> tuple[State, str, DataFrame]:
+    """The state after one superstep, the plan that made it, and the edges."""
+    path = f"{run_dir}/{ctx.superstep}"
+    if state is None:
+        start = graph.vertices.select("id", *[(F.col(c) if c in graph.vertices.columns else F.lit(None)).cast(t).alias(c) for c, t in program.state.items()])
+        rows = start.join(degrees, F.col("id") == F.col("_src"), "left").drop("_src").withColumns({"halted": F.lit(False), "msg": F.lit(None).cast(combined_type(program))})
+        made, name = _compute(rows, program, ctx), "scan"
+    else:
+        busy = barrier["sending"] + barrier["awake"]
+        way = plan if plan is not Plan.AUTO else Plan.FRONTIER if busy < AUTO_RATIO * barrier["n"] else Plan.FULL_SCAN
+        made, name = _step(state.rows(), edges, program, ctx, last, way), way.value
+        if way is Plan.FRONTIER:
+            touched = _snapshot(made, f"{path}-touched")
+            if program.mutates:
+                made = _without(state.rows(), touched).unionByName(touched, allowMissingColumns=True)
+                made = made.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("gone", "checks")})
+            else:
+                merged = touched if state.changed is None else _without(state.changed, touched).unionByName(touched)
+                if not keep and merged.count() <= COMPACT * barrier["n"]:
+                    if state.changed is None:
+                        return State(state.whole, state.whole_path, touched, f"{path}-touched"), name, edges
+                    changed = _snapshot(merged, f"{path}-changed")
+                    remove(touched.sparkSession, f"{path}-touched")
+                    return State(state.whole, state.whole_path, changed, f"{path}-changed"), name, edges
+                made = _without(state.whole, merged).unionByName(merged)
+    if not program.mutates:
+        new = _snapshot(made, path)
+    else:
+        asked = _snapshot(made, f"{path}-asked")
+        kept, edges = _mutated(asked, edges, program, ctx, run_dir)
+        new = _snapshot(kept, path)
+        remove(new.sparkSession, f"{path}-asked")
+    remove(new.sparkSession, f"{path}-touched")
+    return State(new, path), name, edges
 
 
 def combined_type(program: VertexProgram) -> str:
+    if isinstance(program.combine, UserCombiner):
+        return program.combine.result_type
     return f"array<{program.message_type}>" if program.combine == "collect" else program.message_type
 
 

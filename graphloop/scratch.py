@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """``spark.checkpoint.dir``. Where it is unset, a local session gets a folder of its own, and a cluster an error: a folder
+    of one machine would lose rows there."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share; the master is {master}")
         base = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="graphloop-")
         shared_dir.own = base
     return base
