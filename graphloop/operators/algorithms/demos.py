@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphloop.operators.combine import UserCombiner
 from graphloop.plans.imperative import ImperativeProgram, Vertex
 from graphloop.plans.superstep import Context, VertexProgram
+from graphloop.sources.tables import VertexReader
 
 
 class Mutation(ImperativeProgram):
@@ -25,6 +27,91 @@ class Mutation(ImperativeProgram):
         vertex.vote_to_halt()
 
 
+class ColumnMutation(VertexProgram):
+    """The same as a column program."""
+
+    mutates = True
+
+    def compute(self, ctx: Context) -> dict[str, Column]:
+        return {"value": F.when(F.col("id") < 100, F.lit(0.0)).otherwise(F.col("value"))} if ctx.superstep == 1 else {}
+
+    def _split(self) -> Column:
+        return (F.col("id") % 2 == 0) | (F.col("id") % 3 == 0)
+
+    def deletes(self, ctx: Context) -> Column:
+        return (F.col("id") < 100) & self._split() if ctx.superstep == 1 else F.col("id") == 1900
+
+    def _others(self, ctx: Context, made: Column) -> Column:
+        return F.when((F.col("id") < 100) & ~self._split() & F.lit(ctx.superstep == 1), F.array(made))
+
+    def adds_vertices(self, ctx: Context) -> Column:
+        return self._others(ctx, F.struct((F.col("id") * 100).alias("id"), F.lit(0.0).alias("value")))
+
+    def sends_to(self, ctx: Context) -> Column:
+        return self._others(ctx, F.struct((F.col("id") * 100).alias("to"), F.lit(1.0).alias("msg")))
+
+
+class Rewire(VertexProgram):
+    """Superstep 1 drops out-edges to even identifiers and adds one to itself; 2 sends along what there is; 3 counts."""
+
+    mutates = True
+    state, message_type = {"value": "bigint"}, "bigint"
+
+    def compute(self, ctx: Context) -> dict[str, Column]:
+        return {"value": F.coalesce("msg", F.lit(0).cast("bigint"))}
+
+    def keeps_edge(self, ctx: Context) -> Column | None:
+        return F.col("dst") % 2 == 1 if ctx.superstep == 1 else None
+
+    def adds_edges(self, ctx: Context) -> Column | None:
+        return F.array(F.struct(F.col("id").alias("dst"), F.lit(None).cast("double").alias("value"))) if ctx.superstep == 1 else None
+
+    def sends(self, ctx: Context) -> Column:
+        return F.lit(ctx.superstep == 2)
+
+    def message(self, ctx: Context) -> Column:
+        return F.lit(1).cast("bigint")
+
+    def halt(self, ctx: Context) -> Column:
+        return F.lit(ctx.superstep >= 2)
+
+
+class Range(UserCombiner):
+    """The greatest message less the least."""
+
+    def init(self):
+        return None
+
+    def step(self, part, to, message):
+        m = float(message)
+        return (m, m) if part is None else (min(part[0], m), max(part[1], m))
+
+    def merge(self, part, other):
+        return min(part[0], other[0]), max(part[1], other[1])
+
+    def finish(self, part):
+        return part[1] - part[0]
+
+
+class RingReader(VertexReader):
+    """A ring of n vertices, a range of them to a split."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def splits(self, hint: int) -> list:
+        return [range(k, self.n, hint) for k in range(hint)]
+
+    def read(self, split):
+        for i in split:
+            yield i, 10.0 * i, [((i + 1) % self.n, 100.0 * i)]
+
+
+def squares_from(start: int):
+    for i in range(start, start + 50):
+        yield i, i * i
+
+
 class EarlyTermination(ImperativeProgram):
     """Ends partitions by id mod 4: remainder 2 in superstep 1, remainder 3 in superstep 2."""
 

@@ -2,7 +2,9 @@
 
 For what columns can't express: messages of any number to any vertex, mutation from within, per-partition termination.
 Vertices of a partition (``pmod(id, partitions)`` by default) are processed in the order of their identifiers, as a stream
-of Arrow batches; each superstep writes one tagged table to the shared folder and is split from there.
+of Arrow batches; each superstep writes one tagged table to the shared folder and is split from there, and the one before is
+deleted. A failed superstep is tried again from there; a run is resumed from the last table in its folder. The out-edges and
+the messages of a vertex are one row, so this engine is for graphs whose hubs fit a task; column programs have no such bound.
 """
 
 from __future__ import annotations
@@ -12,11 +14,12 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloop.graph import Graph
-from graphloop.scratch import materialise, new_path
+from graphloop.plans.superstep import recoverable
+from graphloop.scratch import materialise, new_path, release
 
 
 @dataclass
@@ -88,39 +91,82 @@ class ImperativeProgram:
     def close(self, vertex: Vertex) -> None: ...
 
 
-def run_imperative(graph: Graph, program: ImperativeProgram, partitions: int = 8, max_supersteps: int = 2**31 - 1, partition_by: Column | None = None, num_vertices: int | None = None) -> DataFrame:
-    """(id, value) when every vertex has halted and no message is under way, the job is ended, or at ``max_supersteps``."""
+def run_imperative(graph: Graph, program: ImperativeProgram, partitions: int | None = None, max_supersteps: int = 2**31 - 1, partition_by: Column | None = None, num_vertices: int | None = None, run_dir: str | None = None, resume: str | None = None, max_retries: int = 2) -> DataFrame:
+    """(id, value) when every vertex has halted and no message is under way, the job is ended, or at ``max_supersteps``.
+
+    partitions: as many as a shuffle has if none; of programs that end partitions the result depends on it. ``resume`` names
+    the ``run_dir`` of a run to go on from. The result is a table there, for ``release``.
+    """
     spark = graph.vertices.sparkSession
-    edge = "struct<dst:bigint,value:double>"
-    value = (F.col("value") if "value" in graph.vertices.columns else F.lit(None)).cast(program.value_type)
-    lists = graph.edges.groupBy(F.col("src").alias("_src")).agg(F.sort_array(F.collect_list(F.struct("dst", F.col("value").cast("double").alias("value")))).alias("edges"))
-    empty = F.expr(f"cast(array() as array<{edge}>)")
-    state = graph.vertices.select("id", value.alias("value")).join(lists, F.col("id") == F.col("_src"), "left").select("id", "value", F.lit(False).alias("halted"), F.coalesce("edges", empty).alias("edges"))
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    run_dir = resume or run_dir or new_path(spark, "imperative")
     place = F.pmod(F.col("id"), F.lit(partitions)) if partition_by is None else partition_by
     none = F.expr(f"cast(array() as array<{program.message_type}>)")
-    messages = spark.createDataFrame([], f"id bigint, msg {program.message_type}")
+    empty = F.expr(f"cast(array() as array<{EDGE}>)")
     n = num_vertices or graph.vertices.count()
-    shape = f"kind string, id bigint, value {program.value_type}, halted boolean, edges array<{edge}>, msg {program.message_type}"
-    superstep = 0
-    while superstep < max_supersteps:
+    shape = f"kind string, id bigint, value {program.value_type}, halted boolean, edges array<{EDGE}>, msg {program.message_type}"
+    superstep, tagged = _last_step(spark, run_dir, shape) if resume else (0, None)
+    while True:
+        state, messages, over = _start(graph, program) if tagged is None else _split(tagged)
+        if over or superstep >= max_supersteps:
+            break
         superstep += 1
         bags = messages.groupBy(F.col("id").alias("to")).agg(F.collect_list("msg").alias("msgs"))
         rows = state.join(bags, F.col("id") == F.col("to"), "full_outer")
         rows = rows.select(F.coalesce("id", "to").alias("id"), "value", F.coalesce("halted", F.lit(False)).alias("halted"), F.coalesce("edges", empty).alias("edges"), F.coalesce("msgs", none).alias("msgs"))
-        ordered = rows.withColumn("part", place).repartition("part").sortWithinPartitions("part", "id")
-        tagged = materialise(ordered.mapInPandas(_stepper(program, superstep, n), shape), "step", new_path(spark, "step"))
-        kept = tagged.filter("kind = 'vertex'").select("id", "value", "halted", "edges")
-        gone = tagged.filter("kind = 'delete'").select(F.col("id").alias("_gone")).distinct()
-        new = tagged.filter("kind = 'add'").select("id", "value", "halted", "edges").dropDuplicates(["id"])
-        counts = dict(tagged.groupBy("kind").count().collect())
-        if counts.get("delete"):
-            kept = kept.join(gone, F.col("id") == F.col("_gone"), "left_anti")
-        if counts.get("add"):
-            kept = kept.join(new.select(F.col("id").alias("_new")), F.col("id") == F.col("_new"), "left_anti").unionByName(new)
-        state, messages = kept, tagged.filter("kind = 'message'").select("id", "msg")
-        if counts.get("end") or not counts.get("message") and not counts.get("add") and tagged.filter("kind = 'vertex' and not halted").isEmpty():
-            break
-    return state.select("id", "value")
+        ordered = rows.withColumn("part", place).repartition(partitions, "part").sortWithinPartitions("part", "id")
+        before = tagged
+        for attempt in range(max_retries + 1):
+            try:
+                tagged = materialise(ordered.mapInPandas(_stepper(program, superstep, n), shape), "step", f"{run_dir}/step-{superstep:09d}")
+                break
+            except Exception as error:
+                if attempt == max_retries or not recoverable(error):
+                    raise
+        if before is not None:
+            release(before)
+    out = state.select("id", "value")
+    if tagged is not None:
+        out._scratch_path = run_dir
+    return out
+
+
+EDGE = "struct<dst:bigint,value:double>"
+
+
+def _start(graph: Graph, program: ImperativeProgram) -> tuple[DataFrame, DataFrame, bool]:
+    value = (F.col("value") if "value" in graph.vertices.columns else F.lit(None)).cast(program.value_type)
+    lists = graph.edges.groupBy(F.col("src").alias("_src")).agg(F.sort_array(F.collect_list(F.struct("dst", F.col("value").cast("double").alias("value")))).alias("edges"))
+    state = graph.vertices.select("id", value.alias("value")).join(lists, F.col("id") == F.col("_src"), "left")
+    state = state.select("id", "value", F.lit(False).alias("halted"), F.coalesce("edges", F.expr(f"cast(array() as array<{EDGE}>)")).alias("edges"))
+    return state, graph.vertices.sparkSession.createDataFrame([], f"id bigint, msg {program.message_type}"), False
+
+
+def _split(tagged: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """Vertices after mutation, messages, and whether the run is over, from what a superstep wrote."""
+    kept = tagged.filter("kind = 'vertex'").select("id", "value", "halted", "edges")
+    gone = tagged.filter("kind = 'delete'").select(F.col("id").alias("_gone")).distinct()
+    new = tagged.filter("kind = 'add'").select("id", "value", "halted", "edges").dropDuplicates(["id"])
+    counts = dict(tagged.groupBy("kind").count().collect())
+    if counts.get("delete"):
+        kept = kept.join(gone, F.col("id") == F.col("_gone"), "left_anti")
+    if counts.get("add"):
+        kept = kept.join(new.select(F.col("id").alias("_new")), F.col("id") == F.col("_new"), "left_anti").unionByName(new)
+    over = bool(counts.get("end")) or not counts.get("message") and not counts.get("add") and tagged.filter("kind = 'vertex' and not halted").isEmpty()
+    return kept, tagged.filter("kind = 'message'").select("id", "msg"), over
+
+
+def _last_step(spark: SparkSession, run_dir: str, shape: str) -> tuple[int, DataFrame]:
+    """The last superstep that was written whole, and its table."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(run_dir)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath().toString() for f in (fs.listStatus(folder) if fs.exists(folder) else [])]
+    whole = sorted(p for p in found if "/step-" in p and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS")))
+    if not whole:
+        raise FileNotFoundError(f"{run_dir} has no superstep to resume from")
+    out = spark.read.schema(shape).parquet(whole[-1])
+    out._scratch_path = whole[-1]
+    return int(whole[-1].rpartition("-")[2]), out
 
 
 def _stepper(program: ImperativeProgram, superstep: int, n: int):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-class ImruJob(ABC):
+class LearningJob(ABC):
     """The parts of a job; ``parse`` turns raw rows into the table that is cached."""
 
     def parse(self, raw: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ class ImruJob(ABC):
     def done(self, model: Any, round_number: int) -> bool: ...
 
 
-def _folded(parts: DataFrame, job: ImruJob, groups: int) -> DataFrame:
+def _folded(parts: DataFrame, job: LearningJob, groups: int) -> DataFrame:
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for rows in batches:
@@ -51,7 +51,7 @@ def _folded(parts: DataFrame, job: ImruJob, groups: int) -> DataFrame:
     return parts.repartition(groups).mapInPandas(fold, "part binary")
 
 
-def run_imru(data: DataFrame, job: ImruJob, model: Any, topology: str = "none", fan_in: int = 2, cache: str = "disk", on_round: Callable[[int, Any], None] | None = None, snapshot: Callable[[int, Any], None] | None = None) -> tuple[Any, int]:
+def run_rounds(data: DataFrame, job: LearningJob, model: Any, topology: str = "none", fan_in: int = 2, cache: str = "disk", on_round: Callable[[int, Any], None] | None = None, snapshot: Callable[[int, Any], None] | None = None) -> tuple[Any, int]:
     """The final model and the number of rounds. cache: disk, memory or none (parse again each round)."""
     if topology not in ("none", "generic", "nary") or fan_in < 1 or topology == "nary" and fan_in < 2:
         raise ValueError(f"no topology {topology!r} with {fan_in}")
@@ -93,7 +93,7 @@ def run_imru(data: DataFrame, job: ImruJob, model: Any, topology: str = "none",
             rows.unpersist()
 
 
-class ConcatWords(ImruJob):
+class ConcatWords(LearningJob):
     """Sorted concatenation of all words, in one round."""
 
     def map(self, rows, model):
@@ -109,7 +109,7 @@ class ConcatWords(ImruJob):
         return True
 
 
-class SumAndCount(ImruJob):
+class SumAndCount(LearningJob):
     """Sum and count of ``value`` by ``key`` (a bounded number of keys), in one round."""
 
     def map(self, rows, model):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,19 +13,19 @@ from graphloop.graph import Graph
 from graphloop.operators import relational
 from graphloop.operators.aggregates import counters, graph_counts
 from graphloop.operators.algorithms import bfs_hops, bidirectional_meet, connected_components, maximal_cliques, min_label, pagerank, pagerank_with_status, reachable, shortest_paths, triangle_counts
-from graphloop.operators.algorithms.demos import CountMessages, EarlyTermination, GrowingText, Mutation
+from graphloop.operators.algorithms.demos import ColumnMutation, CountMessages, EarlyTermination, GrowingText, Mutation, Range, Rewire, RingReader, squares_from
 from graphloop.operators.algorithms.learning import assign, gradient_descent, kmeans, kmeans_restarts
-from graphloop.operators.algorithms.propagation import UNREACHED
+from graphloop.operators.algorithms.propagation import UNREACHED, MinLabel
 from graphloop.operators.algorithms.rank import PageRank
 from graphloop.operators.algorithms.sampling import sample_graph
 from graphloop.operators.combine import combine_messages
 from graphloop.operators.mutate import add_edges, add_vertices, delete_vertices, remove_edges
 from graphloop.plans.imperative import run_imperative
-from graphloop.plans.imru import SumAndCount, as_rows, run_imru
+from graphloop.plans.rounds import SumAndCount, as_rows, run_rounds
 from graphloop.plans.pipeline import Job, run_pipeline
 from graphloop.plans.superstep import Plan, run_program
 from graphloop.scratch import new_path
-from graphloop.sources import parse_records, read_adjacency_text, read_delimited, replicate, ring, write_vertices
+from graphloop.sources import parse_records, read_adjacency_text, read_delimited, replicate, ring, tables, write_vertices
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,18 +82,18 @@ def _ranks(rounds: int) -> str:
     return ", ".join(out)
 
 
-def _labels(rounds: int) -> str:
-    out = ["l0 AS (SELECT id, least(id, coalesce(m, id)) AS v FROM verts LEFT JOIN (SELECT src, min(dst) AS m FROM edges GROUP BY src) ON src = id)"]
-    for k in range(1, rounds + 1):
-        out.append(f"l{k} AS (SELECT l.id, least(l.v, coalesce(m, l.v)) AS v FROM l{k - 1} l LEFT JOIN (SELECT dst, min(v) AS m FROM l{k - 1} JOIN edges ON src = id WHERE v < id GROUP BY dst) ON dst = l.id)")
-    return ", ".join(out)
+#: To the fixpoint: what comes later takes the place of an earlier row of its key.
+LABELS = """l(id, v) USING KEY (id) AS (
+  SELECT id, least(id, coalesce(m, id)) FROM verts LEFT JOIN (SELECT src, min(dst) AS m FROM edges GROUP BY src) ON src = id UNION
+  SELECT e.dst, min(l.v) FROM l JOIN edges e ON e.src = l.id JOIN recurring.l r ON r.id = e.dst WHERE r.v > l.v AND l.v < l.id GROUP BY e.dst
+)"""
 
 
-def _distances(hops: int, weight: str, source: int = 1) -> str:
-    out = [f"d0 AS (SELECT id, CASE WHEN id = {source} THEN 0.0::DOUBLE END AS v FROM verts)"]
-    for k in range(1, hops + 1):
-        out.append(f"d{k} AS (SELECT d.id, least(d.v, m) AS v FROM d{k - 1} d LEFT JOIN (SELECT dst, min(v + {weight}) AS m FROM d{k - 1} JOIN edges ON src = id WHERE v IS NOT NULL GROUP BY dst) ON dst = d.id)")
-    return ", ".join(out)
+def _distances(weight: str, source: int = 1) -> str:
+    return f"""d(id, v) USING KEY (id) AS (
+  SELECT id, 0.0::DOUBLE FROM verts WHERE id = {source} UNION
+  SELECT e.dst, min(d.v + {weight}) FROM d JOIN edges e ON e.src = d.id LEFT JOIN recurring.d r ON r.id = e.dst WHERE r.v IS NULL OR r.v > d.v + {weight} GROUP BY e.dst
+)"""
 
 
 # Graphs, degrees, counts
@@ -152,27 +153,22 @@ def top_suppliers_by_rank(spark, sf):
 # Labels, distances, reachability
 
 
-@query(f"WITH {NEXT}, {_labels(14)} SELECT id, v AS value FROM l14")
+@query(f"WITH RECURSIVE {NEXT}, {LABELS} SELECT id, v AS value FROM l")
 def min_label_parts(spark, sf):
     return min_label(next_part(spark, sf)).vertices
 
 
-@query(f"WITH {BOTH}, {_labels(14)} SELECT id, v AS value FROM l14")
+@query(f"WITH RECURSIVE {BOTH}, {LABELS} SELECT id, v AS value FROM l")
 def connected_components_full_scan(spark, sf):
     return connected_components(supplier_part(spark, sf), Plan.FULL_SCAN).vertices
 
 
-@query(f"WITH {BOTH}, {_labels(14)} SELECT id, v AS value FROM l14")
+@query(f"WITH RECURSIVE {BOTH}, {LABELS} SELECT id, v AS value FROM l")
 def connected_components_frontier(spark, sf):
     return connected_components(supplier_part(spark, sf), Plan.FRONTIER).vertices
 
 
-@query(f"WITH {NEXT}, {_distances(5, 'w')} SELECT id, v AS value FROM d5 WHERE v IS NOT NULL")
-def shortest_paths_5_hops(spark, sf):
-    return shortest_paths(next_part(spark, sf), 1, max_hops=5).vertices.filter(F.col("value") < UNREACHED)
-
-
-@query()
+@query(f"WITH RECURSIVE {NEXT}, {_distances('e.w')} SELECT id, v AS value FROM d")
 def shortest_paths_from_1(spark, sf):
     """To the fixpoint, with no bound on hops."""
     return shortest_paths(next_part(spark, sf), 1).vertices.filter(F.col("value") < UNREACHED)
@@ -183,18 +179,13 @@ def shortest_paths_ring(spark, sf):
     return shortest_paths(ring(spark, 40), 0).vertices
 
 
-@query(f"WITH {NEXT}, {_distances(3, '1.0')} SELECT id, CAST(v AS BIGINT) AS hops FROM d3 WHERE v IS NOT NULL")
-def bfs_hops_3(spark, sf):
-    return bfs_hops(next_part(spark, sf), 1, max_hops=3)
-
-
-@query()
+@query(f"WITH RECURSIVE {NEXT}, {_distances('1.0')} SELECT id, CAST(v AS BIGINT) AS hops FROM d")
 def bfs_hops_from_1(spark, sf):
     """To the fixpoint, with no bound on hops."""
     return bfs_hops(next_part(spark, sf), 1)
 
 
-@query(f"WITH {NEXT}, {_distances(14, '1.0')} SELECT id FROM d14 WHERE v IS NOT NULL")
+@query(f"WITH RECURSIVE {NEXT}, {_distances('1.0')} SELECT id FROM d")
 def reachable_from_1(spark, sf):
     return reachable(next_part(spark, sf), 1)
 
@@ -236,11 +227,26 @@ def _customers(spark, sf) -> Graph:
     return Graph(_t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit(0.0).alias("value")), spark.createDataFrame([], "src bigint, dst bigint, value double"))
 
 
-@query("SELECT DISTINCT id, 0.0::DOUBLE AS value FROM (SELECT c_custkey AS id FROM customer WHERE NOT (c_custkey < 100 AND (c_custkey % 2 = 0 OR c_custkey % 3 = 0)) UNION SELECT 100 * c_custkey FROM customer WHERE c_custkey < 100 AND c_custkey % 2 <> 0 AND c_custkey % 3 <> 0) WHERE id <> 1900")
+MUTATED = "SELECT DISTINCT id, 0.0::DOUBLE AS value FROM (SELECT c_custkey AS id FROM customer WHERE NOT (c_custkey < 100 AND (c_custkey % 2 = 0 OR c_custkey % 3 = 0)) UNION SELECT 100 * c_custkey FROM customer WHERE c_custkey < 100 AND c_custkey % 2 <> 0 AND c_custkey % 3 <> 0) WHERE id <> 1900"
+
+
+@query(MUTATED)
 def graph_mutation(spark, sf):
     return run_imperative(_customers(spark, sf), Mutation())
 
 
+@query(MUTATED)
+def graph_mutation_by_columns(spark, sf):
+    """The same by a column program: vertices that delete themselves, add others and write to them."""
+    return run_program(_customers(spark, sf), ColumnMutation()).vertices
+
+
+@query(f"WITH {ONE_WAY}, own AS (SELECT src AS id FROM pairs UNION SELECT dst FROM pairs), now AS (SELECT src, dst FROM pairs WHERE dst % 2 = 1 UNION ALL SELECT id, id FROM own) SELECT dst AS id, CAST(count(*) AS BIGINT) AS value FROM now GROUP BY dst")
+def edge_mutation_by_columns(spark, sf):
+    """Vertices drop their edges to even identifiers, add one to themselves, and count what then reaches them."""
+    return run_program(supplier_part(spark, sf, both_ways=False), Rewire()).vertices
+
+
 @query("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE 2 END::BIGINT AS value FROM customer")
 def early_termination(spark, sf):
     return run_imperative(_customers(spark, sf), EarlyTermination(), partitions=4)
@@ -261,7 +267,7 @@ def mutate_edges(spark, sf):
     return g.edges.select("src", "dst")
 
 
-@query(f"WITH {BOTH}, {_labels(14)} SELECT id, v AS value FROM l14")
+@query(f"WITH RECURSIVE {BOTH}, {LABELS} SELECT id, v AS value FROM l")
 def job_pipeline(spark, sf):
     """PageRank, then components on the vertices that it leaves."""
     g = supplier_part(spark, sf)
@@ -297,6 +303,12 @@ def combine_collect(spark, sf):
     return combine_messages(_messages(spark, sf, "l_linenumber"), "collect").select("dst", F.array_join(F.sort_array("msg"), ",").alias("msg"))
 
 
+@query("SELECT l_partkey AS dst, CAST(max(l_quantity) - min(l_quantity) AS DOUBLE) AS msg FROM lineitem GROUP BY l_partkey")
+def combine_by_user(spark, sf):
+    """A combiner of three phases that a user writes: the range of the messages."""
+    return combine_messages(_messages(spark, sf, "l_quantity"), Range())
+
+
 def _messages(spark, sf, column: str) -> DataFrame:
     return _t(spark, sf, "lineitem").select(F.col("l_partkey").alias("dst"), F.col(column).alias("msg"))
 
@@ -401,6 +413,56 @@ def record_text(spark, sf):
     return parse_records(_t(spark, sf, "nation").select(line.alias("value")), "vertexid int, edgelist array<bigint>")
 
 
+@query("SELECT CAST(c_custkey AS BIGINT) AS id, make_timestamp(2020, 1, CAST(1 + c_custkey % 28 AS BIGINT), 10, 30, 0) AS seen, c_custkey + 0.5::DOUBLE AS x, 'a 3d {{x}} 5f ' || c_name AS name, CAST(c_nationkey AS BIGINT) AS nation, [CAST(c_custkey % 7 AS BIGINT), 2] AS tags FROM customer")
+def record_text_nested(spark, sf):
+    """Nested records, multisets of records, datetime and point values, and strings that look like all of these."""
+    line = F.format_string('{"id":%di64, "seen":datetime("2020-01-%02dT10:30:00"), "at":point("%d.5,1"), "name":"a 3d {{x}} 5f %s", "in":{"nation":{"key":%d}}, "tags":{{{"k":%d},{"k":2i8}}}}', "c_custkey", (F.lit(1) + F.col("c_custkey") % 28).cast("int"), "c_custkey", "c_name", "c_nationkey", F.col("c_custkey") % 7)
+    rows = parse_records(_t(spark, sf, "customer").select(line.alias("value")), "id bigint, seen timestamp_ntz, at struct<x:double,y:double>, name string, `in` struct<nation:struct<key:bigint>>, tags array<struct<k:bigint>>")
+    return rows.select("id", "seen", F.col("at.x").alias("x"), "name", F.col("in.nation.key").alias("nation"), F.col("tags.k").alias("tags"))
+
+
+@query("SELECT k AS id, 10.0::DOUBLE * k AS value, (k + 1) % 1000 AS dst, 100.0::DOUBLE * k AS weight FROM range(1000) AS r(k)")
+def reader_of_vertices(spark, sf):
+    """A source that Spark has no reader for: each split is read by a Python object in a task."""
+    g = tables.read_vertices(spark, RingReader(1000))
+    return g.vertices.join(g.edges.select("src", "dst", F.col("value").alias("weight")), F.col("id") == F.col("src")).select("id", "value", "dst", "weight")
+
+
+@query("SELECT k AS id, k * k AS square FROM range(500) AS r(k)")
+def generated_rows(spark, sf):
+    return tables.generate(spark, list(range(0, 500, 50)), squares_from, "id bigint, square bigint")
+
+
+@query(f"WITH RECURSIVE {NEXT}, {LABELS} SELECT id AS vertexid, v AS value FROM l")
+def table_to_table(spark, sf):
+    """A job from one table to another: rows to vertices, a run, and vertices to rows that replace the target's."""
+    own, source, target = uuid.uuid4().hex, new_path(spark, "source"), new_path(spark, "target")
+    g = next_part(spark, sf)
+    least = g.edges.groupBy(F.col("src").alias("_s")).agg(F.min("dst").alias("least"))
+    rows = g.adjacency().join(least, F.col("id") == F.col("_s"), "left")
+    tables.write_table(rows, f"source_{own}", "vertexid", path=source, vertexid="id", edgelist="edges.dst", least="least")
+    columns = {"vertexid": "id", "value": "value"}
+    try:
+        for _ in range(2):  # the second run replaces what the first has written
+            tables.run_table_to_table(spark, f"source_{own}", f"target_{own}", MinLabel(), "vertexid", "edgelist", "vertexid", columns, path=target, state={"least": "least"})
+        return spark.read.parquet(target)
+    finally:
+        tables.drop_table(spark, f"source_{own}")
+        tables.drop_table(spark, f"target_{own}")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation ORDER BY n_name")
+def insert_returning(spark, sf):
+    """A table is made, filled by two inserts that give their rows back, read and dropped."""
+    name, path = f"nations_{uuid.uuid4().hex}", new_path(spark, "nations")
+    rows = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"))
+    tables.create_table(spark, name, "id bigint, name string", path)
+    back = tables.insert(spark, name, rows.filter("id % 2 = 0").orderBy("name"), ["id"]).union(tables.insert(spark, name, rows.filter("id % 2 = 1"), ["id"]))
+    out = spark.read.parquet(path).join(back, "id").select("id", "name")
+    tables.drop_table(spark, name)
+    return out
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
 def delimited_round_trip(spark, sf):
     path = new_path(spark, "delimited")
@@ -418,33 +480,39 @@ def vertex_text_sink(spark, sf):
 # Learning
 
 
+DIMENSIONS = 64
+AXES = [f"x{i}" for i in range(DIMENSIONS)]
+
+
 def _points(spark, sf) -> DataFrame:
-    return _t(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    """The embeddings, a column for each dimension."""
+    return _t(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(AXES)])
 
 
 def _kmeans_sql(rounds: int) -> str:
-    out = ["p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, x, y FROM p ORDER BY vec_id LIMIT 3)"]
+    out = ["p AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, v FROM p ORDER BY vec_id LIMIT 3)"]
     for r in range(1, rounds + 1):
-        out.append(f"a{r} AS (SELECT vec_id, p.x, p.y, arg_min(k, (p.x - c.x) ** 2 + (p.y - c.y) ** 2) AS k FROM p, c{r - 1} c GROUP BY ALL), c{r} AS (SELECT c.k, coalesce(avg(a.x), any_value(c.x)) AS x, coalesce(avg(a.y), any_value(c.y)) AS y FROM c{r - 1} c LEFT JOIN a{r} a ON a.k = c.k GROUP BY c.k)")
+        out.append(f"a{r} AS (SELECT vec_id, any_value(p.v) AS v, arg_min(k, list_distance(p.v, c.v)) AS k FROM p, c{r - 1} c GROUP BY vec_id)")
+        out.append(f"m{r} AS (SELECT k, i, avg(v[i]) AS m FROM a{r}, range(1, {DIMENSIONS + 1}) AS t(i) GROUP BY k, i), c{r} AS (SELECT c.k, coalesce(n.v, c.v) AS v FROM c{r - 1} c LEFT JOIN (SELECT k, list(m ORDER BY i) AS v FROM m{r} GROUP BY k) n ON n.k = c.k)")
     return ", ".join(out)
 
 
-@query(f"WITH {_kmeans_sql(5)} SELECT CAST(k AS INTEGER) AS cluster, round(x, 6) AS x, round(y, 6) AS y FROM c5")
+@query(f"WITH {_kmeans_sql(5)} SELECT CAST(k AS INTEGER) AS cluster, CAST(i - 1 AS INTEGER) AS axis, round(v[i], 6) AS centre FROM c5, range(1, {DIMENSIONS + 1}) AS t(i)")
 def kmeans_5_rounds(spark, sf):
     points = _points(spark, sf)
-    start = [(r["x"], r["y"]) for r in points.orderBy("vec_id").limit(3).collect()]
-    model = kmeans(points, ["x", "y"], start, rounds=5)
-    return spark.createDataFrame([(k, round(x, 6), round(y, 6)) for k, (x, y) in enumerate(model.centres)], "cluster int, x double, y double")
+    start = [tuple(r[c] for c in AXES) for r in points.orderBy("vec_id").limit(3).collect()]
+    model = kmeans(points, AXES, start, rounds=5)
+    return spark.createDataFrame([(k, i, round(x, 6)) for k, p in enumerate(model.centres) for i, x in enumerate(p)], "cluster int, axis int, centre double")
 
 
 @query()
 def kmeans_best_of_3(spark, sf):
     points = _points(spark, sf)
-    return assign(points, ["x", "y"], kmeans_restarts(points, ["x", "y"], 3).centres).select("vec_id", "cluster", "distance")
+    return assign(points, AXES, kmeans_restarts(points, AXES, 3, key="vec_id").centres).select("vec_id", "cluster", "distance")
 
 
 def _bgd_sql(rounds: int) -> str:
-    out = ["d AS (SELECT quality * 2 - 1 AS label, 1.0::DOUBLE AS x0, least(n_chars, 100000)::REAL / 1000::REAL AS x1 FROM labels JOIN documents USING (doc_id)), w0 AS (SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 1.0::DOUBLE AS s)"]
+    out = ["d AS (SELECT quality * 2 - 1 AS label, 1.0::DOUBLE AS x0, n_chars::REAL / 1000::REAL AS x1 FROM labels JOIN documents USING (doc_id)), w0 AS (SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 1.0::DOUBLE AS s)"]
     for r in range(1, rounds + 1):
         wrong = "(label > 0) <> (w0 * x0 + w1 * x1::DOUBLE > 0)"
         out.append(f"w{r} AS (SELECT any_value(w0) + coalesce(sum(label * x0) FILTER ({wrong}), 0) / count(*) * any_value(s) AS w0, any_value(w1) + coalesce(sum(label * x1::DOUBLE) FILTER ({wrong}), 0) / count(*) * any_value(s) AS w1, any_value(s) * 0.9::DOUBLE AS s FROM d, w{r - 1})")
@@ -454,7 +522,7 @@ def _bgd_sql(rounds: int) -> str:
 @query(f"WITH {_bgd_sql(4)} SELECT round(w0, 6) AS w0, round(w1, 6) AS w1 FROM w4")
 def gradient_descent_4_rounds(spark, sf):
     d = _t(spark, sf, "labels").join(_t(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
-    vals = F.array(F.lit(1.0).cast("float"), F.least("n_chars", F.lit(100_000)).cast("float") / F.lit(1000.0).cast("float"))
+    vals = F.array(F.lit(1.0).cast("float"), F.col("n_chars").cast("float") / F.lit(1000.0).cast("float"))
     data = d.select((F.col("quality") * 2 - 1).cast("int").alias("label"), F.array(F.lit(0), F.lit(1)).alias("ids"), F.transform(vals, lambda x: x.cast("float")).alias("vals"))
     model = gradient_descent(data, 2, rounds=4)
     return spark.createDataFrame([(round(model.weights[0], 6), round(model.weights[1], 6))], "w0 double, w1 double")
@@ -463,24 +531,24 @@ def gradient_descent_4_rounds(spark, sf):
 _SUMS = "SELECT event_type AS key, round(sum(value), 3) AS total, CAST(count(value) AS BIGINT) AS n FROM events GROUP BY event_type"
 
 
-def _imru(spark, sf, topology: str) -> DataFrame:
-    model, _ = run_imru(as_rows(_t(spark, sf, "events").filter("value is not null"), "event_type", "value"), SumAndCount(), {}, topology)
+def _reduced(spark, sf, topology: str) -> DataFrame:
+    model, _ = run_rounds(as_rows(_t(spark, sf, "events").filter("value is not null"), "event_type", "value"), SumAndCount(), {}, topology)
     return spark.createDataFrame([(k, round(s, 3), c) for k, (s, c) in sorted(model.items())], "key string, total double, n bigint")
 
 
 @query(_SUMS)
-def imru_reduce_none(spark, sf):
-    return _imru(spark, sf, "none")
+def reduce_none(spark, sf):
+    return _reduced(spark, sf, "none")
 
 
 @query(_SUMS)
-def imru_reduce_generic(spark, sf):
-    return _imru(spark, sf, "generic")
+def reduce_generic(spark, sf):
+    return _reduced(spark, sf, "generic")
 
 
 @query(_SUMS)
-def imru_reduce_nary(spark, sf):
-    return _imru(spark, sf, "nary")
+def reduce_nary(spark, sf):
+    return _reduced(spark, sf, "nary")
 
 
 @query()

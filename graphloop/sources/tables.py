@@ -79,8 +79,8 @@ def graph_from_table(rows: DataFrame, ident: str, targets: str | None = None, **
     none = rows.sparkSession.createDataFrame([], "src bigint, dst bigint, value double")
     if targets is None:
         return Graph(vertices, none)
-    edges = rows.select(F.col(ident).cast("bigint").alias("src"), F.explode(targets).cast("bigint").alias("dst"), F.lit(None).cast("double").alias("value"))
-    return Graph(vertices, edges)
+    edges = rows.select(F.col(ident).cast("bigint").alias("src"), F.explode(F.col(targets).cast("array<bigint>")).alias("dst"))
+    return Graph(vertices, edges.withColumn("value", F.lit(None).cast("double")))
 
 
 def write_table(vertices: DataFrame, name: str, key: str = "id", clean: bool = True, path: str | None = None, fmt: str = "parquet", **columns: Column | str) -> None:

@@ -11,7 +11,7 @@ from graphloop.operators.algorithms import shortest_paths
 from graphloop.operators.algorithms.learning import gradient_descent, kmeans, kmeans_restarts, random_centres
 from graphloop.operators.combine import combine_messages, combiner
 from graphloop.operators.mutate import add_edges, add_vertices, delete_vertices, remove_edges
-from graphloop.plans.imru import ConcatWords, SumAndCount, run_imru
+from graphloop.plans.rounds import ConcatWords, SumAndCount, run_rounds
 from graphloop.sources import parse_records, range_vertices, read_adjacency_text, read_delimited, read_labelled_sparse, replicate, ring, write_vertices
 from graphloop.sources.graphs import balance_lines, drop_field, sort_lines
 
@@ -84,10 +84,10 @@ def test_gradient_descent(spark, tmp_path):
 def test_imru_topologies_agree(spark, topology):
     words = spark.createDataFrame([(c,) for c in "fbdaec"], "word string").repartition(4)
     seen = []
-    assert run_imru(words, ConcatWords(), "", topology, snapshot=lambda n, m: seen.append((n, m))) == ("abcdef", 1)
+    assert run_rounds(words, ConcatWords(), "", topology, snapshot=lambda n, m: seen.append((n, m))) == ("abcdef", 1)
     assert seen == [(0, ""), (1, "abcdef")]
     rows = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("a", 3.0)], "key string, value double").repartition(3)
-    assert run_imru(rows, SumAndCount(), {}, topology, cache="none")[0] == {"a": (4.0, 2), "b": (2.0, 1)}
+    assert run_rounds(rows, SumAndCount(), {}, topology, cache="none")[0] == {"a": (4.0, 2), "b": (2.0, 1)}
 
 
 def test_imru_errors_propagate(spark):
@@ -96,9 +96,9 @@ def test_imru_errors_propagate(spark):
             raise RuntimeError("bad reduce")
 
     with pytest.raises(RuntimeError, match="bad reduce"):
-        run_imru(spark.createDataFrame([("a", 1.0)], "key string, value double"), Bad(), {})
+        run_rounds(spark.createDataFrame([("a", 1.0)], "key string, value double"), Bad(), {})
     with pytest.raises(ValueError, match="topology"):
-        run_imru(spark.createDataFrame([("a", 1.0)], "key string, value double"), SumAndCount(), {}, "ring")
+        run_rounds(spark.createDataFrame([("a", 1.0)], "key string, value double"), SumAndCount(), {}, "ring")
 
 
 def test_combiners(spark):
