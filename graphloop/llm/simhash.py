@@ -43,12 +43,12 @@ from graphloop.llm.components import components
 SHINGLE, SEED, MAX_BITS, POSITIONS = 3, 42, 2, 8
 #: Hashes counted at once, the posting size above which a posting is refined, and entries tallied against each other at once.
 CHUNK, CROWDED, BLOCK = 1 << 15, 2048, 512
-#: For ``near_copies``: words of a shingle; texts whose shingles are counted for the order, and the most shingles that it
-#: tells apart; rounds with leaders. All but the first are a matter of speed alone.
-WIDE, COUNTED, TOLD, ROUNDS = 5, 20_000, 500_000, 2
-#: Bits, as a power of two, of the map that tells shingles of one text only from the others (16 MB, whatever the corpus), and
+#: For ``near_copies``: words of a shingle; of how many texts one has its shingles counted for the order, and the most
+#: shingles that it tells apart; rounds with leaders. All but the first are a matter of speed alone.
+WIDE, COUNTED, TOLD, ROUNDS = 5, 3, 500_000, 2
+#: Bits, as a power of two, of the map that tells shingles of one text only from the others (8 MB, whatever the corpus), and
 #: the parts of a set's histogram.
-MAP_BITS, PARTS = 27, 256
+MAP_BITS, PARTS = 26, 256
 #: The positions that are left out, three at a time: every two positions are together in one of these.
 LEFT_OUT = [(0, 1, 2), (0, 3, 4), (0, 5, 6), (1, 3, 5), (1, 4, 6), (2, 3, 6), (2, 4, 5), (7, 0, 1), (7, 2, 3), (7, 4, 5), (7, 6, 0)]
 CHOICES = [tuple(p for p in range(POSITIONS) if p not in out) for out in LEFT_OUT]
@@ -147,9 +147,16 @@ def _sets(texts: DataFrame, row, fields: str, only=None) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = range(batch.num_rows) if only is None else np.nonzero(_set_bits(only.value, batch.column(0).to_numpy().view(np.uint64)))[0].tolist()
+            held, size = [], 0
             for k in wanted:
                 wide = shingle_set(_words(batch.column(1)[k].as_py()))
-                yield row(np.uint64(_digest(wide)).astype(np.int64), wide)
+                held.append(row(np.uint64(_digest(wide)).astype(np.int64), wide))
+                size += len(wide)
+                if size > 1 << 15:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, size = [], 0
+            if held:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return texts.select("_h", "_t").mapInArrow(made, fields)
 
@@ -160,10 +167,10 @@ def _set_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
 
 
-def _common(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the order of shingles alone: the frequent ones of a sample of ``n`` texts, sorted, with their counts; at most ``TOLD``."""
-    share = max(1, -(-n // COUNTED))
-    counted = texts.filter(F.pmod(F.xxhash64("_h"), F.lit(share)) == 0)
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For the order of shingles alone: the frequent ones of a fixed share of the texts, sorted, with their counts; at most
+    ``TOLD``. A share, and not a number, so that what is frequent doesn't depend on the size of the corpus."""
+    counted = texts.filter(F.pmod(F.xxhash64("_h"), F.lit(COUNTED)) == 0)
     each = _sets(counted, lambda _, wide: pa.RecordBatch.from_arrays([pa.array(wide.view(np.int64))], ["key"]), "key long")
     counts = materialise(each.groupBy("key").count().filter("count > 3"), "counts")
     least, left = 4, TOLD
@@ -252,7 +259,7 @@ def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str
     found = [own.select("digest", "fp").distinct().join(of, F.col("digest") == F.col("_d")).select(F.col("fp").alias("fa"), F.col("f").alias("fb"))]
     # Texts are never shuffled: they are read where they lie, once for each table that is made of them.
     texts = df.filter(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(F.col(ident)).alias("_h"), F.col(text).alias("_t"))
-    common, times = _common(texts, chosen.count())
+    common, times = _common(texts)
     send = df.sparkSession.sparkContext.broadcast
 
     def first(wide: np.ndarray) -> np.ndarray:
@@ -274,6 +281,7 @@ def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str
         return pa.RecordBatch.from_arrays([pa.array(keys[place].view(np.int64)), pa.array(np.full(n, digest)), pa.array(np.full(n, len(wide), np.int32)), pa.array(place.astype(np.int32))], ["key", "digest", "size", "place"])
 
     postings = materialise(_sets(texts, posted, "key long, digest long, size int, place int").distinct(), "postings")
+    seen.destroy()
     shared = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_key"))
     left = materialise(postings.join(shared, F.col("key") == F.col("_key"), "left_semi").withColumn("group", F.col("digest")), "buckets")
     release(postings)
@@ -281,7 +289,10 @@ def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str
     def sets_of(digests: DataFrame, row, fields: str, label: str) -> DataFrame:
         """Sets of these digests (column _d), and a few more, read from the row of each one's least identifier."""
         rows = digests.distinct().join(chosen, F.col("_d") == F.col("digest")).select(F.col("_h").alias("key"))
-        return materialise(_sets(texts, row, fields, send(_bitmap(rows))).dropDuplicates(["digest"]), label)
+        only = send(_bitmap(rows))
+        out = materialise(_sets(texts, row, fields, only).dropDuplicates(["digest"]), label)
+        only.destroy()
+        return out
 
     histograms = lambda digest, wide: pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([histogram(wide)], pa.binary()), pa.array([len(wide)], pa.int32())], ["digest", "parts", "size"])
     wholes = lambda digest, wide: pa.RecordBatch.from_arrays([pa.array([digest]), pa.array([wide.tobytes()], pa.binary())], ["digest", "wide"])
