@@ -118,7 +118,8 @@ def _lost(df: DataFrame, text: str, ident: str, passage: int) -> DataFrame:
                 rows.append((n, [{"start": s, "end": e} for s, e in spans], used))
             yield pd.DataFrame(rows, columns=["n_units", "spans", "used"])
 
-    cut = lost.select("id", "text_hash", "units", merged(F.transform("units", lambda u: u["unit"])).alias("cut")).filter(F.col("cut.n_units") > 0)
+    once = merged.asNondeterministic()  # else the filter has a call of its own
+    cut = lost.select("id", "text_hash", "units", once(F.transform("units", lambda u: u["unit"])).alias("cut")).filter(F.col("cut.n_units") > 0)
     firsts = F.array_sort(F.array_distinct(F.transform("cut.used", lambda k: F.get("units", k)["first"])))
     return cut.select("id", "text_hash", F.col("cut.n_units").alias("n_units"), F.col("cut.spans").alias("spans"), firsts.alias("first_ids"))
 
