@@ -10,6 +10,7 @@ from graphloop.operators.algorithms import bidirectional_meet, connected_compone
 from graphloop.operators.algorithms.sampling import sample_graph
 from graphloop.plans.superstep import Plan
 from graphloop.sources import read_adjacency_text, write_vertices
+from graphloop.sources.tables import graph_from_table, write_table
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,12 +28,16 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--run-dir", help="folder of the snapshots")
     p.add_argument("--resume", help="go on from the last snapshot in this folder")
     p.add_argument("--format", default="text", choices=["text", "parquet", "json", "csv"])
+    p.add_argument("--tables", action="store_true", help="INPUT and OUTPUT are tables; OUTPUT's rows are replaced")
+    p.add_argument("--id-column", default="vertexid", help="of INPUT's identifier, and of OUTPUT's")
+    p.add_argument("--targets-column", default="edgelist", help="of INPUT's array of targets")
     p.add_argument("--single", action="store_true", help="one output file, sorted by identifier")
     return p
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    graph, plan = read_adjacency_text(spark, args.input), Plan(args.plan)
+    graph = graph_from_table(spark.table(args.input), args.id_column, args.targets_column) if args.tables else read_adjacency_text(spark, args.input)
+    plan = Plan(args.plan)
     options = {"num_vertices": args.num_vertices, "keep_every": args.keep_every, "run_dir": args.run_dir, "resume": args.resume}
     most = args.max_supersteps or 2**31 - 1
     if args.job == "pagerank":
@@ -57,7 +62,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"graphloop {args.job}").getOrCreate()
-    write_vertices(run(spark, args), args.output, args.format, single=args.single)
+    out = run(spark, args)
+    if args.tables:
+        write_table(out.withColumnRenamed("id", args.id_column), args.output, args.id_column)
+    else:
+        write_vertices(out, args.output, args.format, single=args.single)
 
 
 if __name__ == "__main__":

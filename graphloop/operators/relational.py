@@ -42,3 +42,8 @@ def find_largest(df: DataFrame, column: str) -> DataFrame:
 def groups_of_at_least(df: DataFrame, key: str, n: int) -> DataFrame:
     """(key, n) of groups with n rows or more."""
     return df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") >= n)
+
+
+def neighbours_together(df: DataFrame, n: int) -> DataFrame:
+    """At most n partitions, each of neighbouring ones of before, without a shuffle."""
+    return df.coalesce(n)

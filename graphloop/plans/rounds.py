@@ -10,11 +10,13 @@ from __future__ import annotations
 import pickle
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import reduce
+from socket import gethostname
 from typing import Any
 
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +95,21 @@ def run_rounds(data: DataFrame, job: LearningJob, model: Any, topology: str = "n
             rows.unpersist()
 
 
+@dataclass(frozen=True)
+class TaskInfo:
+    """Where a job's ``map`` or ``reduce`` runs: the partition, the attempt, and the host."""
+
+    partition: int
+    attempt: int
+    host: str
+
+
+def task_info() -> TaskInfo | None:
+    """Of the task that calls it; None on the driver."""
+    task = TaskContext.get()
+    return None if task is None else TaskInfo(task.partitionId(), task.attemptNumber(), gethostname())
+
+
 class ConcatWords(LearningJob):
     """Sorted concatenation of all words, in one round."""
 

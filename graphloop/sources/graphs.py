@@ -41,9 +41,17 @@ def replicate(graph: Graph, copies: int, offset: int | None = None) -> Graph:
     return Graph(vertices, edges)
 
 
-def write_vertices(vertices: DataFrame, path: str, fmt: str = "text", single: bool = False, sort: bool = True, compression: str | None = None, mode: str = "errorifexists") -> None:
-    """Writes (id, value ...): ``id<TAB>value`` lines, or parquet, json, csv; sorted by id within files, or in one file."""
+def write_vertices(vertices: DataFrame, path: str, fmt: str = "text", single: bool = False, sort: bool = True, compression: str | None = None, mode: str = "errorifexists", partition_by: Column | None = None, partitions: int | None = None) -> None:
+    """Writes (id, value ...): ``id<TAB>value`` lines, or parquet, json, csv; sorted by id within files, or in one file.
+
+    partition_by: rows of one value of it are in one file; with ``partitions``, the value is the number of the file.
+    """
     out = vertices.repartitionByRange(1, "id") if single else vertices
+    if partition_by is not None and partitions:
+        # repartitionById sends a row to the partition of the number given.
+        out = vertices.repartitionById(partitions, F.pmod(partition_by, F.lit(partitions)).cast("int"))
+    elif partition_by is not None:
+        out = vertices.repartition(partition_by)
     out = out.sortWithinPartitions("id") if sort else out
     if fmt == "text":
         out = out.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in out.columns]).alias("value"))

@@ -75,10 +75,16 @@ def parse_records(lines: DataFrame, schema: str, value: str = "value") -> DataFr
     """Rows of ``schema`` from record text: JSON with ``{{ ... }}`` for multisets, type suffixes such as ``5i64``, and
     constructors. Records nest; a field that the schema doesn't name is left out. A line that can't be parsed raises."""
 
+    def strict(line: str) -> str:
+        try:
+            return record_to_json(line)
+        except ValueError:
+            return "{"  # which the parser rejects with the record's own error
+
     @F.pandas_udf("string")
     def plain(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for lines in batches:
-            yield lines.map(record_to_json)
+            yield lines.map(strict)
 
     return lines.filter(F.trim(value) != "").select(F.from_json(plain(F.col(value)), schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
