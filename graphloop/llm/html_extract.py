@@ -368,9 +368,14 @@ def _signed(x: int) -> int:
 
 
 def _pack(elements: list[tuple[int, int, int]], blocks: list[tuple[int, str]]) -> bytes:
+    """A page for ``_text``, without the texts that go whatever the tree says: of these ``select`` needs the places alone."""
     import zstandard
 
-    return zstandard.compress(json.dumps([[(p, _signed(n), k) for p, n, k in elements], blocks]).encode(), 3)
+    firm: list[bool] = []
+    for parent, _, k in elements:  # parents come before their children
+        firm.append(bool(k & (HARD | STRONG)) or parent >= 0 and firm[parent])
+    held = [(e, "" if firm[e] else text) for e, text in blocks]
+    return zstandard.compress(json.dumps([[(p, _signed(n), k) for p, n, k in elements], held]).encode(), 3)
 
 
 def _text(blob: bytes, known: dict[int, tuple[float, float]], least: float) -> str:
@@ -380,12 +385,18 @@ def _text(blob: bytes, known: dict[int, tuple[float, float]], least: float) -> s
     return "\n".join(select(elements, blocks, known, least))
 
 
+def _own(pages: DataFrame, ident: str, url: str, html: str, made) -> DataFrame:
+    """``ident``, ``url``, row (a hash of all three columns), host, and what ``made`` gives for the html."""
+    host, row = F.xxhash64(parts(F.col(url))[0]).alias("host"), F.xxhash64(ident, url, html).alias("row")
+    got = pages.select(F.col(ident), F.col(url), row, host, made(F.coalesce(F.col(html), F.lit(""))).alias("_p"))
+    return got.select(ident, url, "row", "host", "_p.*")
+
+
 def parse(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Parsed pages: ``ident``, ``url``, row, host, blob (packed elements and blocks), page (digest) and nodes."""
+    """Parsed pages: ``ident``, ``url``, row, host, page (digest) and nodes."""
     prepare(pages.sparkSession)
-    shape = "blob binary, page long, nodes array<struct<node:long,content:long,style:long>>"
 
-    @F.pandas_udf(shape)
+    @F.pandas_udf("page long, nodes array<struct<node:long,content:long,style:long>>")
     def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh64_intdigest
 
@@ -395,14 +406,23 @@ def parse(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str
         for texts in batches:
             rows = []
             for t in texts:
-                elements, blocks, nodes = parse_page(t)
-                own = [{"node": _signed(n), "content": digest(c) if c else None, "style": digest(s)} for n, c, s in nodes]
-                rows.append((_pack(elements, blocks), digest(repr(own)), own))
-            yield pd.DataFrame(rows, columns=["blob", "page", "nodes"])
+                own = [{"node": _signed(n), "content": digest(c) if c else None, "style": digest(s)} for n, c, s in parse_page(t)[2]]
+                rows.append((digest(repr(own)), own))
+            yield pd.DataFrame(rows, columns=["page", "nodes"])
+
+    return _own(pages, ident, url, html, parsed)
+
+
+def packed(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """``ident``, ``url``, row, host and blob (packed elements and blocks)."""
+    prepare(pages.sparkSession)
+
+    @F.pandas_udf("blob binary")
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame({"blob": [_pack(*parse_page(t)[:2]) for t in texts]}, dtype=object)
 
-    host = F.xxhash64(parts(F.col(url))[0])
-    got = pages.select(F.col(ident), F.col(url), host.alias("host"), parsed(F.coalesce(F.col(html), F.lit(""))).alias("_p"))
-    return got.select(ident, url, F.monotonically_increasing_id().alias("row"), "host", "_p.blob", "_p.page", "_p.nodes")
+    return _own(pages, ident, url, html, pack)
 
 
 def style_tree(parsed: DataFrame, doubt: float = DOUBT) -> DataFrame:
@@ -426,12 +446,13 @@ def style_tree(parsed: DataFrame, doubt: float = DOUBT) -> DataFrame:
 
 def extract(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str = "html", least: float = LEAST, doubt: float = DOUBT) -> DataFrame:
     """Rows of ``ident``, ``url``, text and n_chars."""
-    parsed = materialise(parse(pages, ident, url, html), "pages")
+    # Pages are parsed twice: what the tree needs is small and kept, their texts are only dealt to what the tree says of them.
+    parsed = materialise(parse(pages, ident, url, html).drop(ident, url), "pages")
     told = style_tree(parsed, doubt).filter((F.col("content") < 1) | (F.col("style") < 1)).drop("pages")
     # A node of a large host is dealt over SALTS tasks by the page; the tree's nodes are repeated for each.
     salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     nodes = parsed.select("row", "host", F.explode("nodes.node").alias("node"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
-    known = nodes.join(salted, ["host", "node", "salt"]).groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("node", "content", "style")).alias("known"))
+    known = nodes.join(salted, ["host", "node", "salt"]).groupBy(F.col("row").alias("_row")).agg(F.collect_set(F.struct("node", "content", "style")).alias("known"))
 
     @F.pandas_udf("string")
     def text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -442,5 +463,5 @@ def extract(pages: DataFrame, ident: str = "page_id", url: str = "url", html: st
                 out.append(_text(blob, entropies, least))
             yield pd.Series(out, dtype=object)
 
-    whole = parsed.select(F.col(ident), F.col(url), "row", "blob").join(known, F.col("row") == F.col("_row"), "left")
+    whole = packed(pages, ident, url, html).join(known, F.col("row") == F.col("_row"), "left")
     return whole.select(F.col(ident), F.col(url), text("blob", "known").alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -1,6 +1,7 @@
 import math
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from helpers import AWKWARD, DOCS, alike, components, docs_table, repeats, simhash
@@ -469,6 +470,20 @@ def test_style_tree_equals_brute_force(spark):
     assert changed > 40 and texts[1] == "Story 1 goes here\nMore of 1"
 
 
+def test_texts_of_pages_are_not_kept_beside_their_shuffle(spark, monkeypatch):
+    kept, materialise = [], html_extract.materialise
+    monkeypatch.setattr(html_extract, "materialise", lambda df, label: kept.append(materialise(df, label)) or kept[-1])
+    rng = random.Random(6)
+    data = [(i, f"http://h{i % 3}.com/{i}", f"<nav><p>{words(rng, 200, 10**9)}</p></nav><article><p>{words(rng, 400, 10**9)}</p></article>") for i in range(40)]
+    df = spark.createDataFrame([*data, data[3]], "page_id bigint, url string, html string")
+    got = sorted((r["page_id"], r["text"]) for r in rows(html_extract.extract(df)))
+    assert got == sorted((i, text_of(html)) for i, _, html in [*data, data[3]]) and len(got) == 41
+    sizes = [sum(p.stat().st_size for p in Path(t._scratch_path).rglob("*.parquet")) for t in kept]
+    assert sizes and sum(sizes) < 0.1 * sum(len(html) for _, _, html in data)
+    elements, blocks, _ = html_extract.parse_page(PAGE.format(n=1))
+    assert html_extract._text(html_extract._pack(elements, blocks), {}, html_extract.LEAST) == text_of(PAGE.format(n=1))
+
+
 def test_extract_of_nulls_and_no_rows(spark):
     df = spark.createDataFrame([(None, None, None), (1, "x", ""), (1, "x", "<p>a"), (1, "x", "<p>a")], "page_id bigint, url string, html string")
     assert sorted(r["text"] for r in rows(html_extract.extract(df))) == ["", "", "a", "a"]
