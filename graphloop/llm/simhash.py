@@ -303,7 +303,9 @@ def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str
         if left.isEmpty():
             break
         if k < ROUNDS:
-            leaders = left.groupBy("key").agg(F.min(member).alias("lo"), F.max(member).alias("hi")).withColumnRenamed("key", "_key")
+            # The least place has the fewest shingles of its own before, so it is the nearest to what a bucket's texts are made of.
+            least, other = F.struct("place", "digest"), F.struct(F.xxhash64("digest", F.lit(k)), "digest")
+            leaders = left.groupBy("key").agg(F.min_by(member, least).alias("lo"), F.min_by(member, other).alias("hi")).withColumnRenamed("key", "_key")
             led = left.select("key", member.alias("y")).join(leaders, F.col("key") == F.col("_key")).select("y", F.explode(F.array("lo", "hi")).alias("x"))
         else:
             x = left.select(F.col("key").alias("_key"), member.alias("x"))
@@ -327,7 +329,11 @@ def near_copies(df: DataFrame, sketched: DataFrame, similarity: float, text: str
         moved = left.drop("group").join(grouped, F.col("digest") == F.col("node"), "left").select("key", "digest", "size", "place", F.coalesce("component", "digest").alias("group"))
         moved = materialise(moved, "moved")
         mixed = moved.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select(F.col("key").alias("_key"))
-        before, left = left, materialise(moved.join(mixed, F.col("key") == F.col("_key"), "left_semi"), "buckets")
+        # A leader has met its whole bucket, and needs to meet nobody there again.
+        done = leaders.select(F.col("_key").alias("_led"), F.col("lo.digest").alias("_lo"), F.col("hi.digest").alias("_hi"))
+        rest = moved.join(mixed, F.col("key") == F.col("_key"), "left_semi").join(done, F.col("key") == F.col("_led"))
+        rest = rest.filter(~F.col("digest").isin(F.col("_lo"), F.col("_hi"))).select(*moved.columns)
+        before, left = left, materialise(rest, "buckets")
         release(before)
         release(moved)
     release(parts)

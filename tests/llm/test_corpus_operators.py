@@ -112,6 +112,28 @@ def test_a_star_of_edited_copies_loses_no_pair(spark, original):
     assert got == components([(i, simhash(t)) for i, t in texts], alike=pairs)
 
 
+def test_leaders_leave_few_pairs_of_a_star(spark, monkeypatch):
+    rng = random.Random(9)
+    base, texts = words(rng, 200, 4000).split(), []
+    for k in range(200):  # like the original, and unlike each other
+        w = base[:]
+        for at in rng.sample(range(200), 4):
+            w[at] = f"e{k}x{at}"
+        texts.append((k, " ".join(w)))
+    texts.append((1000, " ".join(base)))
+    kept, materialise = [], sh.materialise
+
+    def counted(df, label):
+        out = materialise(df, label)
+        kept.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(sh, "materialise", counted)
+    got = {r["doc_id"]: r["component_id"] for r in rows(sh.near_duplicates(docs_table(spark, texts), similarity=0.8))}
+    assert got == components([(i, simhash(t)) for i, t in texts], alike=alike(dict(texts), 0.8))
+    assert sum(n for label, n in kept if label == "pairs") < 5 * len(texts)
+
+
 def test_near_duplicates_of_repeated_and_no_rows(spark):
     got = rows(sh.near_duplicates(docs_table(spark, AWKWARD)))
     assert len(got) == len(AWKWARD) and {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1} and {r["component_id"] for r in got if r["doc_id"] in (6, 7)} == {6}
