@@ -4,7 +4,7 @@ Units are the lines of a text and the sentences of its lines (up to and with a r
 marks). A line goes where an equal one came before, however short it is; a repeated paragraph is a run of such lines. What
 is pasted into the middle of lines is no whole line, so sentences count as well, though not by themselves: a run of
 neighbouring sentences that each came before goes if it has ``PASSAGE`` words or more. Units are normalised (lower case, white
-space as one space, trimmed), told by kind and 128-bit digest, and grouped over the whole corpus with partial aggregation.
+space as one space, trimmed), told by kind and 128-bit digest, and brought together over the whole corpus by one shuffle.
 Occurrences are ranked by identifier, then by their place in the text, then by a hash of the text. Offsets are code points
 of the original text. Whatever goes has an occurrence that stays: the first of a sentence is never in a run, and not in a
 line that goes, whose sentences came before as well.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloop.llm.common import prepare
@@ -102,8 +102,8 @@ def _lost(df: DataFrame, text: str, ident: str, passage: int) -> DataFrame:
     """(id, text_hash, cut: n_units and spans, first_ids) of the texts that lose something."""
     units = _units(df, text, ident)
     place = F.struct("id", "start", "text_hash")
-    first = units.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select(F.col("digest").alias("_d"), "first")
-    again = units.join(first, F.col("digest") == F.col("_d")).filter((place != F.col("first")) & F.col("id").isNotNull())
+    # A window, and no join with an aggregate: units are made and shuffled once.
+    again = units.withColumn("first", F.min(place).over(Window.partitionBy("digest"))).filter((place != F.col("first")) & F.col("id").isNotNull())
     own = F.struct("line", "place", "start", "end", "words")
     # Equal rows have equal units: the set counts each once.
     lost = again.groupBy("id", "text_hash").agg(F.collect_set(F.struct(own.alias("unit"), F.col("first.id").alias("first"))).alias("units"))

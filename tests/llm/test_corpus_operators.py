@@ -189,6 +189,11 @@ def test_lines_of_any_length_go_and_sentences_alone_stay(spark):
     assert {r["name"]: r["body"] for r in rows(line_dedup.remove(df, "body", "name", spans=None))} == dict(texts) | {"b": "Clean start here.\nShort one. And another end"}
 
 
+def test_units_are_made_once(spark):
+    plan = line_dedup.removed(docs_table(spark, AWKWARD))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_a_passage_inside_lines_is_found(spark):
     passage = "The first long sentence of the passage stands here today. The second long sentence of it follows right after. A third one ends what repeats across documents, and a fourth is not far. It ends so."
     texts = [(1, f"Clean words begin, {passage} and other words end."), (2, f"Quite another start, {passage} and a different end."), (3, "Nothing in this clean text repeats at all anywhere.")]
