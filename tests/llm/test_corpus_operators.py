@@ -153,6 +153,21 @@ def test_components_of_a_long_chain(spark):
     assert got == dict.fromkeys(range(61), 0) | {100: 100, 101: 100}
 
 
+def test_components_plan_one_step_at_a_time(spark, monkeypatch):
+    """The driver plans a query again after each of its shuffles, so none repeats its input beyond the two sides of a join."""
+    reads, write = [], cc.materialise
+    monkeypatch.setattr(cc, "materialise", lambda df, label: reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")) or write(df, label))
+    rng = random.Random(8)
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(500, i) for i in range(501, 560)] + [(None, 1), (7, None), (9, 9)]
+    got = {r["node"]: r["component"] for r in rows(cc.components(spark.createDataFrame(pairs, "a long, b long")))}
+    whole = [{a, b} for a, b in pairs if a is not None and b is not None and a != b]
+    for p in list(whole):
+        met = [s for s in whole if s & p]
+        whole = [s for s in whole if not s & p] + [set().union(*met)]
+    assert got == {x: min(s) for s in whole for x in s}
+    assert max(reads) == 2
+
+
 # Substring dedup
 
 
