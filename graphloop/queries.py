@@ -31,6 +31,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 PART = 1_000_000_000
+ROWS = 1_000_000
 
 
 def query(sql: str | None = None):
@@ -47,6 +48,11 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _tasks(df: DataFrame) -> int:
+    """Over how many tasks rows are dealt: ``ROWS`` each, so that a task's memory doesn't grow with the table."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+
+
 def supplier_part(spark: SparkSession, sf: str, both_ways: bool = True) -> Graph:
     """Suppliers and the parts they have shipped (identifiers from ``PART`` on), in both directions or from suppliers only."""
     pairs = _t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PART).alias("dst")).distinct()
@@ -63,9 +69,9 @@ def next_part(spark: SparkSession, sf: str) -> Graph:
 
 def bought_together(spark: SparkSession, sf: str) -> Graph:
     """Parts of one order, both ways."""
-    lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    other = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("dst"))
-    pairs = lines.join(other, F.col("l_orderkey") == F.col("o")).filter("l_partkey <> dst").select(F.col("l_partkey").alias("src"), "dst").distinct()
+    lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_partkey").filter("l_orderkey is not null")
+    orders = lines.repartition(_tasks(lines), "l_orderkey").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
+    pairs = orders.select("parts", F.explode("parts").alias("src")).select("src", F.explode("parts").alias("dst")).filter("src <> dst").distinct()
     return Graph(_t(spark, sf, "part").select(F.col("p_partkey").alias("id")), pairs.withColumn("value", F.lit(None).cast("double")))
 
 
