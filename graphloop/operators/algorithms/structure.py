@@ -159,19 +159,16 @@ def _by_cells(up: DataFrame, edges: int, give: Callable[[Iterator[np.ndarray]],
 def triangle_counts(graph: Graph) -> DataFrame:
     """(id, triangles): for each u, pairs v < w of greater out-neighbours with an edge from v to w.
 
-    Each edge list is kept to the ascending edges, and parallel edges count once. Paths are made at the end of least degree
-    (of equal ones, the least), which has at most the root of twice the number of edges above it, so a hub makes few; each is
-    closed by a semi join and counts for its least vertex.
+    Each edge list is kept to the ascending edges, and parallel edges count once. A triangle counts for its least vertex.
     """
-    up = graph.edges.filter("src < dst").select("src", "dst").distinct()
-    degree = up.select(F.explode(F.array("src", "dst")).alias("v")).groupBy("v").agg(F.count("*").alias("d"))
-    both = up.join(degree.select(F.col("v").alias("_s"), F.col("d").alias("_ds")), F.col("src") == F.col("_s")).join(degree.select(F.col("v").alias("_t"), F.col("d").alias("_dt")), F.col("dst") == F.col("_t"))
-    first = F.col("_ds") <= F.col("_dt")
-    turned = both.select(F.when(first, F.col("src")).otherwise(F.col("dst")).alias("x"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("y"))
-    paths = turned.join(turned.select(F.col("x").alias("x2"), F.col("y").alias("z")), F.col("x") == F.col("x2")).filter("y < z").select("x", "y", "z")
-    closing = up.select(F.col("src").alias("_y"), F.col("dst").alias("_z"))
-    closed = paths.join(closing, (F.col("y") == F.col("_y")) & (F.col("z") == F.col("_z")), "left_semi")
-    counts = closed.groupBy(F.least("x", "y").alias("u")).agg(F.count("*").alias("n"))
+    up = materialise(graph.edges.filter("src < dst").select("src", "dst").distinct(), "edges")
+
+    def count(found: Iterator[np.ndarray]) -> Iterator[dict]:
+        for rows in found:
+            u, n = np.unique(rows[:, 0], return_counts=True)
+            yield {"u": u, "n": n}
+
+    counts = _by_cells(up, up.count(), count, "u bigint, n bigint").groupBy("u").agg(F.sum("n").alias("n"))
     return graph.vertices.select("id").join(counts, F.col("id") == F.col("u"), "left").select("id", F.coalesce("n", F.lit(0).cast("long")).alias("triangles"))
 
 

@@ -1,9 +1,10 @@
+import itertools
 import random
 
 import pytest
 
 from graphloop.graph import Graph
-from graphloop.operators.algorithms import maximal_cliques, structure
+from graphloop.operators.algorithms import maximal_cliques, structure, triangle_counts
 
 
 @pytest.fixture
@@ -27,6 +28,17 @@ def paths_joined(df) -> bool:
     return "LeftSemi" in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_triangles_of_cells_equal_brute_force(spark, cells):
+    edges, ids, graph = a_graph(spark)
+    up = {e for e in edges if e[0] < e[1]}
+    want = dict.fromkeys(ids, 0)
+    for u, v, w in itertools.combinations(sorted(ids), 3):
+        want[u] += (u, v) in up and (v, w) in up and (u, w) in up
+    df = triangle_counts(graph)
+    assert not paths_joined(df)  # which a cluster would have to shuffle
+    assert {r["id"]: r["triangles"] for r in df.collect()} == want and sum(want.values()) > 200
+
+
 def test_cliques_of_cells_equal_brute_force(spark, cells):
     edges, ids, graph = a_graph(spark)
     later = {u: {v for v in ids if u < v and (u, v) in edges and (v, u) in edges} for u in ids}
