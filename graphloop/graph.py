@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 class Graph:
     vertices: DataFrame  # id BIGINT and state columns
     edges: DataFrame  # src BIGINT, dst BIGINT, value
+    symmetric: bool = False  # whether every edge is there once each way
 
     @classmethod
     def from_edges(cls, edges: DataFrame) -> Graph:
@@ -48,5 +49,11 @@ class Graph:
 
     def undirected(self) -> Graph:
         """Every edge in both directions; an edge that is there both ways comes out once each way."""
-        e = self.edges
-        return replace(self, edges=e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "value")).dropDuplicates(["src", "dst"]))
+        if self.symmetric:
+            return self
+        up = F.col("src") <= F.col("dst")
+        low, high = F.when(up, F.col("src")).otherwise(F.col("dst")), F.when(up, F.col("dst")).otherwise(F.col("src"))
+        once = self.edges.select(low.alias("low"), high.alias("high"), "value").groupBy("low", "high").agg(F.first("value").alias("value"))
+        ends = F.when(F.col("low") == F.col("high"), F.array("low")).otherwise(F.array("low", "high"))
+        both = once.withColumn("src", F.explode(ends)).select("src", F.when(F.col("src") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("dst"), "value")
+        return replace(self, edges=both, symmetric=True)

@@ -11,14 +11,16 @@ changes that still count, and the untouched rest is neither shuffled nor written
 are merged into a whole snapshot. ``Plan.AUTO`` takes the frontier when under ``AUTO_RATIO`` of the vertices are active.
 
 Edges are dealt once, by source and a salt: a source with n out-edges has one salt for every ``SPLIT`` of them, and its row
-is repeated for each when it sends, so a hub's edges are spread over tasks. Programs may mutate the graph between
+is repeated for each when it sends, so a hub's edges are spread over tasks. They are dealt and sorted once, ``SLICE`` to a
+task; supersteps move vertices and messages only, by merge joins: no table of vertices goes through the driver. Programs may mutate the graph between
 supersteps: vertices delete themselves, add others, and add or remove edges of their own.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from enum import Enum
 
@@ -30,7 +32,7 @@ from graphloop.graph import Graph
 from graphloop.operators.combine import UserCombiner, combine_messages, combiner
 from graphloop.scratch import new_path, remove
 
-AUTO_RATIO, COMPACT, SPLIT = 0.2, 0.25, 20_000
+AUTO_RATIO, COMPACT, SPLIT, SLICE = 0.2, 0.25, 20_000, 1_000_000
 
 
 class Plan(Enum):
@@ -128,6 +130,7 @@ class Result:
     supersteps: int
     aggregates: dict
     plans: list[str]
+    num_vertices: int = 0  # as the program saw it
 
 
 def _salts(degree: str) -> Column:
@@ -136,22 +139,41 @@ def _salts(degree: str) -> Column:
 
 
 def _deal(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (src, dst, edge_value) dealt by source and salt, cached; and the out-degrees (_src, out_degree).
+    """Edges (src, dst, edge_value) dealt by source and salt, cached; and the out-degrees (_src, out_degree), cached as well.
 
-    Lost parts are computed again. The joins of all supersteps then move vertices only.
+    Lost parts are computed again. The joins of all supersteps then move vertices only, and needn't sort edges.
     """
-    degrees = edges.groupBy(F.col("src").alias("_src")).agg(F.count("*").alias("out_degree"))
+    degrees = edges.groupBy(F.col("src").alias("_src")).agg(F.count("*").alias("out_degree")).persist(StorageLevel.MEMORY_AND_DISK)
+    count = degrees.agg(F.sum("out_degree")).first()[0] or 0
     hubs = degrees.filter(F.col("out_degree") > SPLIT).select(F.col("_src").alias("_hub"), _salts("out_degree").alias("_n"))
-    salted = edges.join(hubs, F.col("src") == F.col("_hub"), "left")
+    salted = edges.join(F.broadcast(hubs), F.col("src") == F.col("_hub"), "left")  # one row for SPLIT edges at most
     salt = F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.col("_n"))).cast("int")
-    dealt = salted.select("src", salt.alias("salt"), "dst", "edge_value").repartition("src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
-    return dealt, dealt.groupBy(F.col("src").alias("_src")).agg(F.count("*").alias("out_degree"))
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-count // SLICE))
+    dealt = salted.select("src", salt.alias("salt"), "dst", "edge_value").repartition(tasks, "src", "salt").sortWithinPartitions("src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    dealt.count()  # from then on plans know how it is dealt
+    dealt._degrees = degrees
+    return dealt, degrees
+
+
+def _free(dealt: DataFrame) -> None:
+    dealt._degrees.unpersist()
+    dealt.unpersist()
+
+
+@contextmanager
+def dealt(graph: Graph) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """The edges of ``graph`` for the option ``dealt`` of several runs over them."""
+    own = _deal(graph.edges.select("src", "dst", F.col("value").alias("edge_value")))
+    try:
+        yield own
+    finally:
+        _free(own[0])
 
 
 def _along(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """``rows`` of vertices with id and out_degree, joined with their out-edges."""
     salted = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), _salts("out_degree") - 1)))
-    return salted.join(edges, (F.col("id") == F.col("src")) & (F.col("_salt") == F.col("salt"))).drop("_salt", "salt", "src")
+    return edges.join(salted.hint("merge"), (F.col("src") == F.col("id")) & (F.col("salt") == F.col("_salt"))).drop("_salt", "salt", "src")
 
 
 def _messages(state: DataFrame, edges: DataFrame, program: VertexProgram, ctx: Context) -> DataFrame:
@@ -185,24 +207,31 @@ def _compute(rows: DataFrame, program: VertexProgram, ctx: Context) -> DataFrame
         keeps = program.keeps_edge(ctx)
         extra = {"gone": F.col("_active") & F.coalesce(program.deletes(ctx), F.lit(False)), "mail": mail, "new": vertices, "links": links, "checks": F.col("_active") & F.lit(keeps is not None)}
         extra = {k: (v if k in ("gone", "checks") else F.lit(None) if v is None else F.when(F.col("_active"), v)) for k, v in extra.items()}
-    return rows.select("id", *program.state, "halted", "sent", "out_degree", "at", *[v.alias(k) for k, v in extra.items()])
+    born = ["born"] if "born" in rows.columns else []
+    return rows.select("id", *program.state, "halted", "sent", "out_degree", "at", *[v.alias(k) for k, v in extra.items()], *born)
 
 
-def _step(before: DataFrame, edges: DataFrame, program: VertexProgram, ctx: Context, last: Context, plan: Plan) -> DataFrame:
+def _step(before: State, edges: DataFrame, program: VertexProgram, ctx: Context, last: Context, plan: Plan, awake: int) -> DataFrame:
     """The new state of all vertices (full scan), or of those that are touched (frontier)."""
-    messages = _messages(before, edges, program, last)
+    latest = before.whole if before.changed is None else before.changed  # holds all that have sent, and all that are awake
+    messages = _messages(latest, edges, program, last)
     columns = ["id", *program.state, "halted", "out_degree"]
-    state = before.select(*columns)
     if plan is Plan.FULL_SCAN:
-        joined = state.join(messages, F.col("id") == F.col("to"), "full_outer" if program.create_missing else "left")
+        joined = before.rows().select(*columns).join(messages.hint("merge"), F.col("id") == F.col("to"), "full_outer" if program.create_missing else "left")
         return _compute(joined.withColumn("id", F.coalesce("id", "to")).drop("to"), program, ctx)
-    awake = state.filter(~F.col("halted")).select(F.col("id").alias("_awake"))
-    touched = messages.join(awake, F.col("to") == F.col("_awake"), "full_outer").select(F.coalesce("to", "_awake").alias("to"), "msg")
-    hit = state.join(touched, F.col("id") == F.col("to")).drop("to")
-    if program.create_missing:
-        unknown = touched.join(state.select("id"), F.col("id") == F.col("to"), "left_anti")
-        hit = hit.unionByName(unknown.withColumnRenamed("to", "id"), allowMissingColumns=True)
-    return _compute(hit, program, ctx)
+    touched = messages
+    if awake:
+        up = latest.filter(~F.col("halted")).select(F.col("id").alias("_awake"))
+        touched = messages.join(up.hint("merge"), F.col("to") == F.col("_awake"), "full_outer").select(F.coalesce("to", "_awake").alias("to"), "msg")
+    hit, known = touched.join(before.whole.select(*columns).hint("merge"), F.col("to") == F.col("id"), "left"), F.col("id").isNotNull()
+    if before.changed is not None:
+        newer = before.changed.select(*[F.col(c).alias(f"_new_{c}") for c in columns])
+        hit = hit.join(newer.hint("merge"), F.col("to") == F.col("_new_id"), "left")
+        hit = hit.select("to", "msg", *[F.when(F.col("_new_id").isNotNull(), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+    hit = hit.withColumn("born", ~known)
+    if not program.create_missing:
+        hit = hit.filter(known)
+    return _compute(hit.withColumn("id", F.col("to")).drop("to"), program, ctx)
 
 
 @dataclass
@@ -213,6 +242,7 @@ class State:
     whole_path: str
     changed: DataFrame | None = None
     changed_path: str | None = None
+    counts: dict = field(default_factory=dict)  # after a frontier step: of the vertices that it touched
 
     def rows(self) -> DataFrame:
         if self.changed is None:
@@ -224,7 +254,7 @@ class State:
 
 
 def _without(rows: DataFrame, others: DataFrame) -> DataFrame:
-    return rows.join(others.select(F.col("id").alias("_other")), F.col("id") == F.col("_other"), "left_anti")
+    return rows.join(others.select(F.col("id").alias("_other")).hint("merge"), F.col("id") == F.col("_other"), "left_anti")
 
 
 def _mutated(made: DataFrame, edges: DataFrame, program: VertexProgram, ctx: Context, run_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -260,13 +290,22 @@ def _snapshot(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _barrier(state: DataFrame, program: VertexProgram, ctx: Context) -> dict:
-    """Votes, active vertices, counts and the program's aggregates in one action."""
-    own = {f"a_{k}": v for k, v in program.aggregates(ctx).items()}
+def _counts(state: DataFrame, ctx: Context, own: dict[str, Column]) -> dict:
     mail = F.col("mail").isNotNull() if "mail" in state.columns else F.lit(False)
     sending = (F.col("sent") | mail) & (F.col("at") == ctx.superstep)
-    row = state.agg(F.count("*").alias("n"), F.sum(sending.cast("long")).alias("sending"), F.sum((~F.col("halted")).cast("long")).alias("awake"), *[v.alias(k) for k, v in own.items()]).first().asDict()
-    return {"n": row["n"], "sending": row["sending"] or 0, "awake": row["awake"] or 0, "own": {k[2:]: row[k] for k in own}}
+    born = F.sum(F.col("born").cast("long")) if "born" in state.columns else F.lit(0)
+    row = state.agg(F.count("*").alias("n"), F.sum(sending.cast("long")).alias("sending"), F.sum((~F.col("halted")).cast("long")).alias("awake"), born.alias("born"), *[v.alias(k) for k, v in own.items()]).first().asDict()
+    return {"n": row["n"], "sending": row["sending"] or 0, "awake": row["awake"] or 0, "born": row["born"] or 0, "own": {k[2:]: row[k] for k in own}}
+
+
+def _barrier(state: State, program: VertexProgram, ctx: Context, before: int) -> dict:
+    """Votes, active vertices, counts and the program's aggregates in one action; ``before`` is the count of vertices. After a
+    frontier step without aggregates, what is untouched has voted to halt and counts as it did."""
+    own = {f"a_{k}": v for k, v in program.aggregates(ctx).items()}
+    if state.counts and not own:
+        return {"n": before + state.counts["born"], "sending": state.counts["sending"], "awake": state.counts["awake"], "own": {}}
+    found = _counts(state.rows(), ctx, own)
+    return {k: found[k] for k in ("n", "sending", "awake", "own")}
 
 
 def run_program(
@@ -282,27 +321,34 @@ def run_program(
     resume: str | None = None,
     run_dir: str | None = None,
     max_retries: int = 2,
+    dealt: tuple[DataFrame, DataFrame] | None = None,
 ) -> Result:
     """Runs ``program`` until no vertex is awake and no message is under way, ``program.stop``, or ``max_supersteps``.
 
     ``num_vertices`` overrides what programs see as the count. Snapshots are kept every ``keep_every`` supersteps or where
     ``keep_when`` says so, in ``run_dir``; ``resume`` names the ``run_dir`` of a run to go on from. A failed superstep is
-    tried again from the last snapshot, ``max_retries`` times, and then raises.
+    tried again from the last snapshot, ``max_retries`` times, and then raises. ``dealt`` are the graph's edges from the
+    function of that name, for several runs over the same ones.
     """
     spark = graph.vertices.sparkSession
     run_dir = resume or run_dir or new_path(spark, "run")
-    edges, degrees = _deal(graph.edges.select("src", "dst", F.col("value").alias("edge_value")))
+    edges, degrees = dealt or _deal(graph.edges.select("src", "dst", F.col("value").alias("edge_value")))
+    given = edges if dealt else None
+    start = None
     done, aggregates, names = _last_snapshot(spark, run_dir) if resume else (0, {}, [])
     if not done:
-        v, e = graph.counts()
-        counts = num_vertices or v, num_edges or e
+        start = _snapshot(_start(graph, program, degrees), f"{run_dir}/start")
+        v = start.count()
+        counts = num_vertices or v, num_edges or degrees.agg(F.sum("out_degree")).first()[0] or 0
     else:
         counts = tuple(aggregates.pop("_counts"))
         if program.mutates:
+            if edges is not given:
+                _free(edges)
             edges, _ = _deal(spark.read.parquet(f"{run_dir}/edges-kept-{done}"))
     state = State(spark.read.parquet(f"{run_dir}/{done}"), f"{run_dir}/{done}") if done else None
     ctx = Context(done, *counts, max_supersteps, aggregates)
-    barrier = _barrier(state.rows(), program, ctx) if done else {}
+    barrier = _barrier(state, program, ctx, 0) if done else {}
     chosen: list[str] = list(names)
     edges_at = 0
     keeps = lambda n: bool(n and (keep_every and n % keep_every == 0 or keep_when is not None and keep_when(n)))
@@ -311,8 +357,8 @@ def run_program(
         program.before_superstep(ctx)
         for attempt in range(max_retries + 1):
             try:
-                new, name, after = _advance(graph, program, state, edges, degrees, ctx, last, plan, barrier, run_dir, keeps(ctx.superstep))
-                barrier = _barrier(new.rows(), program, ctx)
+                new, name, after = _advance(start, program, state, edges, ctx, last, plan, barrier, run_dir, keeps(ctx.superstep))
+                barrier = _barrier(new, program, ctx, barrier.get("n", 0))
                 break
             except Exception as error:
                 if attempt == max_retries or not recoverable(error):
@@ -323,8 +369,12 @@ def run_program(
             name = path.rpartition("/")[2]
             if not (name.isdigit() and keeps(int(name))):
                 remove(spark, path)
+        if start is not None:
+            remove(spark, f"{run_dir}/start")
+            start = None
         if after is not edges:
-            edges.unpersist()
+            if edges is not given:
+                _free(edges)
             if edges_at:
                 remove(spark, f"{run_dir}/edges-{edges_at}")
             edges, edges_at = after, ctx.superstep
@@ -337,34 +387,43 @@ def run_program(
         program.end_superstep(ctx, barrier["own"])
         if on_superstep:
             on_superstep(ctx, barrier)
-    edges.unpersist()
-    return Result(state.rows().select("id", *program.state), done, ctx.aggregates, chosen)
+    if edges is not given:
+        _free(edges)
+    return Result(state.rows().select("id", *program.state), done, ctx.aggregates, chosen, counts[0])
+
+
+def _start(graph: Graph, program: VertexProgram, degrees: DataFrame) -> DataFrame:
+    """The vertices before the first superstep."""
+    own = graph.vertices.select("id", *[(F.col(c) if c in graph.vertices.columns else F.lit(None)).cast(t).alias(c) for c, t in program.state.items()])
+    return own.join(degrees.hint("merge"), F.col("id") == F.col("_src"), "left").drop("_src")
 
 
-def _advance(graph: Graph, program: VertexProgram, state: State | None, edges: DataFrame, degrees: DataFrame, ctx: Context, last: Context, plan: Plan, barrier: dict, run_dir: str, keep: bool) -> tuple[State, str, DataFrame]:
+def _advance(start: DataFrame | None, program: VertexProgram, state: State | None, edges: DataFrame, ctx: Context, last: Context, plan: Plan, barrier: dict, run_dir: str, keep: bool) -> tuple[State, str, DataFrame]:
     """The state after one superstep, the plan that made it, and the edges."""
-    path = f"{run_dir}/{ctx.superstep}"
+    path, counts = f"{run_dir}/{ctx.superstep}", {}
     if state is None:
-        start = graph.vertices.select("id", *[(F.col(c) if c in graph.vertices.columns else F.lit(None)).cast(t).alias(c) for c, t in program.state.items()])
-        rows = start.join(degrees, F.col("id") == F.col("_src"), "left").drop("_src").withColumns({"halted": F.lit(False), "msg": F.lit(None).cast(combined_type(program))})
+        rows = start.withColumns({"halted": F.lit(False), "msg": F.lit(None).cast(combined_type(program))})
         made, name = _compute(rows, program, ctx), "scan"
     else:
         busy = barrier["sending"] + barrier["awake"]
         way = plan if plan is not Plan.AUTO else Plan.FRONTIER if busy < AUTO_RATIO * barrier["n"] else Plan.FULL_SCAN
-        made, name = _step(state.rows(), edges, program, ctx, last, way), way.value
+        made, name = _step(state, edges, program, ctx, last, way, barrier["awake"]), way.value
         if way is Plan.FRONTIER:
             touched = _snapshot(made, f"{path}-touched")
             if program.mutates:
+                touched = touched.drop("born")
                 made = _without(state.rows(), touched).unionByName(touched, allowMissingColumns=True)
                 made = made.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("gone", "checks")})
             else:
-                merged = touched if state.changed is None else _without(state.changed, touched).unionByName(touched)
-                if not keep and merged.count() <= COMPACT * barrier["n"]:
-                    if state.changed is None:
-                        return State(state.whole, state.whole_path, touched, f"{path}-touched"), name, edges
-                    changed = _snapshot(merged, f"{path}-changed")
+                counts = _counts(touched, ctx, {})
+                merged, merged_path, many = touched.drop("born"), f"{path}-touched", counts["n"]
+                if state.changed is not None:
+                    merged_path = f"{path}-changed"
+                    merged = _snapshot(_without(state.changed, merged).unionByName(merged), merged_path)
                     remove(touched.sparkSession, f"{path}-touched")
-                    return State(state.whole, state.whole_path, changed, f"{path}-changed"), name, edges
+                    many = merged.count()
+                if not keep and many <= COMPACT * barrier["n"]:
+                    return State(state.whole, state.whole_path, merged, merged_path, counts), name, edges
                 made = _without(state.whole, merged).unionByName(merged)
     if not program.mutates:
         new = _snapshot(made, path)
@@ -373,8 +432,9 @@ def _advance(graph: Graph, program: VertexProgram, state: State | None, edges: D
         kept, edges = _mutated(asked, edges, program, ctx, run_dir)
         new = _snapshot(kept, path)
         remove(new.sparkSession, f"{path}-asked")
-    remove(new.sparkSession, f"{path}-touched")
-    return State(new, path), name, edges
+    for made_before in ("touched", "changed"):
+        remove(new.sparkSession, f"{path}-{made_before}")
+    return State(new, path, counts=counts), name, edges
 
 
 def combined_type(program: VertexProgram) -> str:

@@ -24,7 +24,7 @@ from graphloop.plans.imperative import run_imperative
 from graphloop.plans.rounds import SumAndCount, as_rows, run_rounds
 from graphloop.plans.pipeline import Job, run_pipeline
 from graphloop.plans.superstep import Plan, run_program
-from graphloop.scratch import new_path
+from graphloop.scratch import materialise, new_path
 from graphloop.sources import parse_records, read_adjacency_text, read_delimited, replicate, ring, tables, write_vertices
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,18 +53,25 @@ def _tasks(df: DataFrame) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
 
 
-def supplier_part(spark: SparkSession, sf: str, both_ways: bool = True) -> Graph:
-    """Suppliers and the parts they have shipped (identifiers from ``PART`` on), in both directions or from suppliers only."""
-    pairs = _t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PART).alias("dst")).distinct()
-    return Graph.from_edges(pairs.union(pairs.select("dst", "src")) if both_ways else pairs)
+def supplier_part(spark: SparkSession, sf: str, both_ways: bool = True, keep: bool = False) -> Graph:
+    """Suppliers and the parts they have shipped (identifiers from ``PART`` on), in both directions or from suppliers only.
+
+    ``keep`` writes the pairs and the vertices to scratch tables, for programs that read them again and again.
+    """
+    lines = _t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + PART).alias("dst"))
+    pairs = lines.repartition(_tasks(lines), "src", "dst").distinct()
+    pairs = materialise(pairs, "pairs") if keep else pairs
+    ids = pairs.select(F.col("src").alias("id")).distinct().union(pairs.select("dst").distinct()).distinct()
+    edges = pairs.union(pairs.select("dst", "src")) if both_ways else pairs
+    return Graph(materialise(ids, "ids") if keep else ids, edges.withColumn("value", F.lit(None).cast("double")), symmetric=both_ways)
 
 
 def next_part(spark: SparkSession, sf: str) -> Graph:
-    """Parts, with an edge to each part on the next line of an order; the value is the least quantity there."""
+    """Parts, with an edge to each part on the next line of an order; the value is the least quantity there. Edges are kept."""
     lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     later = lines.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("q"))
     pairs = lines.join(later, (F.col("l_orderkey") == F.col("o")) & (F.col("l_linenumber") == F.col("n"))).groupBy(F.col("l_partkey").alias("src"), "dst").agg(F.min("q").alias("value"))
-    return Graph(_t(spark, sf, "part").select(F.col("p_partkey").alias("id")), pairs)
+    return Graph(_t(spark, sf, "part").select(F.col("p_partkey").alias("id")), materialise(pairs, "next"))
 
 
 def bought_together(spark: SparkSession, sf: str) -> Graph:
@@ -166,7 +173,7 @@ def min_label_parts(spark, sf):
 
 @query(f"WITH RECURSIVE {BOTH}, {LABELS} SELECT id, v AS value FROM l")
 def connected_components_full_scan(spark, sf):
-    return connected_components(supplier_part(spark, sf), Plan.FULL_SCAN).vertices
+    return connected_components(supplier_part(spark, sf, keep=True), Plan.FULL_SCAN).vertices
 
 
 @query(f"WITH RECURSIVE {BOTH}, {LABELS} SELECT id, v AS value FROM l")
@@ -223,7 +230,7 @@ def cliques_bought_together(spark, sf):
 
 @query(f"WITH {ONE_WAY} SELECT id, CAST(coalesce(n, 0) * 10000 AS BIGINT) AS value FROM (SELECT src AS id FROM pairs UNION SELECT dst FROM pairs) LEFT JOIN (SELECT dst, count(*) AS n FROM pairs GROUP BY dst) ON dst = id")
 def message_counts(spark, sf):
-    return run_program(supplier_part(spark, sf, both_ways=False), CountMessages(), plan=Plan.FULL_SCAN).vertices
+    return run_program(supplier_part(spark, sf, both_ways=False, keep=True), CountMessages(), plan=Plan.FULL_SCAN).vertices
 
 
 # Mutation and imperative programs
@@ -250,7 +257,7 @@ def graph_mutation_by_columns(spark, sf):
 @query(f"WITH {ONE_WAY}, own AS (SELECT src AS id FROM pairs UNION SELECT dst FROM pairs), now AS (SELECT src, dst FROM pairs WHERE dst % 2 = 1 UNION ALL SELECT id, id FROM own) SELECT dst AS id, CAST(count(*) AS BIGINT) AS value FROM now GROUP BY dst")
 def edge_mutation_by_columns(spark, sf):
     """Vertices drop their edges to even identifiers, add one to themselves, and count what then reaches them."""
-    return run_program(supplier_part(spark, sf, both_ways=False), Rewire()).vertices
+    return run_program(supplier_part(spark, sf, both_ways=False, keep=True), Rewire()).vertices
 
 
 @query("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE 2 END::BIGINT AS value FROM customer")
