@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from graphloop.operators.mutate import add_edges, add_vertices, delete_vertices,
 from graphloop.plans.imperative import run_imperative
 from graphloop.plans.rounds import SumAndCount, as_rows, run_rounds
 from graphloop.plans.pipeline import Job, run_pipeline
-from graphloop.plans.superstep import Plan, run_program
+from graphloop.plans.superstep import Plan, dealt, run_program
 from graphloop.scratch import materialise, new_path
 from graphloop.sources import parse_records, read_adjacency_text, read_delimited, replicate, ring, tables, write_vertices
 
@@ -283,9 +284,10 @@ def mutate_edges(spark, sf):
 @query(f"WITH RECURSIVE {BOTH}, {LABELS} SELECT id, v AS value FROM l")
 def job_pipeline(spark, sf):
     """PageRank, then components on the vertices that it leaves."""
-    g = supplier_part(spark, sf)
-    ranked = run_pipeline(g, [Job(PageRank(), 3, Plan.FULL_SCAN), Job(PageRank(), 3, Plan.FULL_SCAN)])
-    return connected_components(Graph(ranked.vertices.select("id"), g.edges)).vertices
+    g = supplier_part(spark, sf, keep=True)
+    with dealt(g) as own:
+        ranked = run_pipeline(g, [Job(PageRank(), 3, Plan.FULL_SCAN), Job(PageRank(), 3, Plan.FULL_SCAN)], dealt=own)
+        return connected_components(replace(g, vertices=ranked.vertices.select("id")), dealt=own).vertices
 
 
 # Combiners

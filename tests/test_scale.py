@@ -38,3 +38,10 @@ def test_a_superstep_neither_shuffles_nor_sorts_edges(step):
     text = plan_of(superstep._messages(whole, dealt, MinLabel(), last))
     above = text.split("InMemoryTableScan")[0].split("SortMergeJoin")[1]  # between the join and the edges
     assert "Exchange" not in above and "Sort " not in above, text
+
+
+@tables
+def test_jobs_of_a_pipeline_share_dealt_edges(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(superstep, "_deal", lambda edges, f=superstep._deal: calls.append(1) or f(edges))
+    assert own.QUERIES["job_pipeline"](spark, SF).count() and len(calls) == 1
