@@ -45,3 +45,14 @@ def test_jobs_of_a_pipeline_share_dealt_edges(spark, monkeypatch):
     calls = []
     monkeypatch.setattr(superstep, "_deal", lambda edges, f=superstep._deal: calls.append(1) or f(edges))
     assert own.QUERIES["job_pipeline"](spark, SF).count() and len(calls) == 1
+
+
+def frontier(step, changed: bool):
+    dealt, whole, last, ctx = step
+    newer = whole.filter("id < 50") if changed else None
+    return superstep._step(State(whole, "none", newer, "none" if changed else None), dealt, MinLabel(), ctx, last, Plan.FRONTIER, 0)
+
+
+@pytest.mark.parametrize("changed", [False, True])
+def test_a_frontier_step_sends_no_vertices_through_the_driver(step, changed):
+    assert "Broadcast" not in plan_of(frontier(step, changed))
