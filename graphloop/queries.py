@@ -179,7 +179,7 @@ def connected_components_full_scan(spark, sf):
 
 @query(f"WITH RECURSIVE {BOTH}, {LABELS} SELECT id, v AS value FROM l")
 def connected_components_frontier(spark, sf):
-    return connected_components(supplier_part(spark, sf), Plan.FRONTIER).vertices
+    return connected_components(supplier_part(spark, sf, keep=True), Plan.FRONTIER).vertices
 
 
 @query(f"WITH RECURSIVE {NEXT}, {_distances('e.w')} SELECT id, v AS value FROM d")

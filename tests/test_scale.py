@@ -56,3 +56,30 @@ def frontier(step, changed: bool):
 @pytest.mark.parametrize("changed", [False, True])
 def test_a_frontier_step_sends_no_vertices_through_the_driver(step, changed):
     assert "Broadcast" not in plan_of(frontier(step, changed))
+
+
+def test_a_frontier_step_reads_the_last_snapshot_once(step):
+    text = frontier(step, True)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Range \(0, 503", text)) == 3  # the snapshot, and what has changed twice
+
+
+@pytest.mark.parametrize("plan", list(Plan))
+def test_vertices_that_messages_create_are_counted(spark, plan):
+    edges = [(k, k + 1) for k in range(20)] + [(k, 100 + k) for k in range(20)]
+    df = spark.createDataFrame(edges, "src bigint, dst bigint").selectExpr("src", "dst", "cast(null as double) value")
+    seen = []
+    done = superstep.run_program(Graph(spark.range(20), df), own.PageRank(), 4, plan, on_superstep=lambda ctx, b: seen.append(b["n"]))
+    assert seen == [20, 41, 41, 41] and done.vertices.count() == 41 and done.num_vertices == 20
+    apart = []
+    superstep.run_program(Graph(spark.range(20), df), own.MinLabel(), plan=plan, on_superstep=lambda ctx, b: apart.append(b["n"]))
+    assert apart[0] == 20 and apart == sorted(apart)
+
+
+@tables
+@pytest.mark.parametrize("name", ["connected_components_frontier"])
+def test_lines_are_read_once_for_a_run(spark, monkeypatch, name):
+    """Pairs and vertices are kept; no program goes back to the lines."""
+    seen = []
+    monkeypatch.setattr(superstep, "_start", lambda graph, *rest, f=superstep._start: seen.append(graph) or f(graph, *rest))
+    assert own.QUERIES[name](spark, SF).count()
+    assert seen and not any("lineitem" in x for g in seen for df in (g.vertices, g.edges) for x in df.inputFiles())
