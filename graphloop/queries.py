@@ -151,9 +151,8 @@ def pagerank_supplier_part(spark, sf):
 
 @query(f"WITH {BOTH}, {_ranks(4)} SELECT id, round(v * n, 6) AS rank, 'superstep 4' AS status FROM r4, n")
 def pagerank_struct_state(spark, sf):
-    g = supplier_part(spark, sf)
-    n = g.vertices.count()
-    return pagerank_with_status(g, 4, num_vertices=n).vertices.select("id", F.round(F.col("value.rank") * n, 6).alias("rank"), F.col("value.status").alias("status"))
+    done = pagerank_with_status(supplier_part(spark, sf, keep=True), 4)
+    return done.vertices.select("id", F.round(F.col("value.rank") * done.num_vertices, 6).alias("rank"), F.col("value.status").alias("status"))
 
 
 @query(f"WITH {BOTH}, {_ranks(10)} SELECT s_suppkey, s_name, round(v * n, 6) AS rank FROM r10 JOIN supplier ON s_suppkey = id CROSS JOIN n ORDER BY rank DESC, s_suppkey LIMIT 50")

@@ -75,8 +75,28 @@ def test_vertices_that_messages_create_are_counted(spark, plan):
     assert apart[0] == 20 and apart == sorted(apart)
 
 
+def test_vertices_are_read_once_and_edges_twice(spark, tmp_path):
+    def noted(df, name):
+        at = str(tmp_path / name)
+
+        def note(batches):
+            n = 0
+            for rows in batches:
+                n += len(rows)
+                yield rows
+            with open(at, "a") as f:
+                f.write(f"{n}\n")
+
+        return df.mapInPandas(note, df.schema), lambda: sum(map(int, open(at)))
+
+    edges = spark.range(300).selectExpr("id % 50 AS src", "(id * 7) % 50 AS dst", "cast(null as double) AS value")
+    (v, vertices), (e, every) = noted(spark.range(50), "vertices"), noted(edges, "edges")
+    superstep.run_program(Graph(v, e), own.PageRank(), 3, Plan.FULL_SCAN)
+    assert (vertices(), every()) == (50, 600)  # edges for degrees, and to be dealt
+
+
 @tables
-@pytest.mark.parametrize("name", ["connected_components_frontier"])
+@pytest.mark.parametrize("name", ["connected_components_frontier", "pagerank_struct_state"])
 def test_lines_are_read_once_for_a_run(spark, monkeypatch, name):
     """Pairs and vertices are kept; no program goes back to the lines."""
     seen = []
