@@ -103,3 +103,12 @@ def test_lines_are_read_once_for_a_run(spark, monkeypatch, name):
     monkeypatch.setattr(superstep, "_start", lambda graph, *rest, f=superstep._start: seen.append(graph) or f(graph, *rest))
     assert own.QUERIES[name](spark, SF).count()
     assert seen and not any("lineitem" in x for g in seen for df in (g.vertices, g.edges) for x in df.inputFiles())
+
+
+@tables
+@pytest.mark.parametrize("name", ["reachable_from_1"])
+def test_the_join_of_lines_is_made_once(spark, monkeypatch, name):
+    seen = []
+    monkeypatch.setattr(superstep, "_start", lambda graph, *rest, f=superstep._start: seen.append(graph) or f(graph, *rest))
+    assert own.QUERIES[name](spark, SF).count()
+    assert seen and not any("lineitem" in x for g in seen for x in g.edges.inputFiles())
