@@ -451,10 +451,8 @@ def generated_rows(spark, sf):
 def table_to_table(spark, sf):
     """A job from one table to another: rows to vertices, a run, and vertices to rows that replace the target's."""
     own, source, target = uuid.uuid4().hex, new_path(spark, "source"), new_path(spark, "target")
-    g = next_part(spark, sf)
-    least = g.edges.groupBy(F.col("src").alias("_s")).agg(F.min("dst").alias("least"))
-    rows = g.adjacency().join(least, F.col("id") == F.col("_s"), "left")
-    tables.write_table(rows, f"source_{own}", "vertexid", path=source, vertexid="id", edgelist="edges.dst", least="least")
+    rows = next_part(spark, sf).adjacency()  # sorted by target
+    tables.write_table(rows, f"source_{own}", "vertexid", path=source, vertexid="id", edgelist="edges.dst", least=F.get("edges.dst", F.lit(0)))
     columns = {"vertexid": "id", "value": "value"}
     try:
         for _ in range(2):  # the second run replaces what the first has written

@@ -95,6 +95,15 @@ def test_vertices_are_read_once_and_edges_twice(spark, tmp_path):
     assert (vertices(), every()) == (50, 600)  # edges for degrees, and to be dealt
 
 
+@tables
+def test_the_source_table_is_made_of_one_join(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(own.tables, "write_table", lambda rows, *a, f=own.tables.write_table, **b: made.append(rows) or f(rows, *a, **b))
+    own.QUERIES["table_to_table"](spark, SF)
+    assert not any("lineitem" in x for x in made[0].inputFiles())
+    assert made[0].select(F.explode("edges.dst")).count() == own.next_part(spark, SF).edges.count()
+
+
 @tables
 @pytest.mark.parametrize("name", ["connected_components_frontier", "pagerank_struct_state"])
 def test_lines_are_read_once_for_a_run(spark, monkeypatch, name):
@@ -106,7 +115,7 @@ def test_lines_are_read_once_for_a_run(spark, monkeypatch, name):
 
 
 @tables
-@pytest.mark.parametrize("name", ["reachable_from_1", "min_label_parts"])
+@pytest.mark.parametrize("name", ["reachable_from_1", "min_label_parts", "table_to_table"])
 def test_the_join_of_lines_is_made_once(spark, monkeypatch, name):
     seen = []
     monkeypatch.setattr(superstep, "_start", lambda graph, *rest, f=superstep._start: seen.append(graph) or f(graph, *rest))
