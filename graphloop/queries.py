@@ -144,9 +144,8 @@ def replicate_x4(spark, sf):
 
 @query(f"WITH {BOTH}, {_ranks(10)} SELECT id, round(v * n, 6) AS rank FROM r10, n")
 def pagerank_supplier_part(spark, sf):
-    g = supplier_part(spark, sf)
-    n = g.vertices.count()
-    return pagerank(g, 10, num_vertices=n).vertices.select("id", F.round(F.col("value") * n, 6).alias("rank"))
+    done = pagerank(supplier_part(spark, sf, keep=True), 10)
+    return done.vertices.select("id", F.round(F.col("value") * done.num_vertices, 6).alias("rank"))
 
 
 @query(f"WITH {BOTH}, {_ranks(4)} SELECT id, round(v * n, 6) AS rank, 'superstep 4' AS status FROM r4, n")

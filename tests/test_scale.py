@@ -105,7 +105,7 @@ def test_the_source_table_is_made_of_one_join(spark, monkeypatch):
 
 
 @tables
-@pytest.mark.parametrize("name", ["connected_components_frontier", "pagerank_struct_state"])
+@pytest.mark.parametrize("name", ["connected_components_frontier", "pagerank_struct_state", "pagerank_supplier_part"])
 def test_lines_are_read_once_for_a_run(spark, monkeypatch, name):
     """Pairs and vertices are kept; no program goes back to the lines."""
     seen = []
