@@ -115,7 +115,7 @@ def test_lines_are_read_once_for_a_run(spark, monkeypatch, name):
 
 
 @tables
-@pytest.mark.parametrize("name", ["reachable_from_1", "min_label_parts", "table_to_table"])
+@pytest.mark.parametrize("name", ["reachable_from_1", "min_label_parts", "table_to_table", "bfs_hops_from_1"])
 def test_the_join_of_lines_is_made_once(spark, monkeypatch, name):
     seen = []
     monkeypatch.setattr(superstep, "_start", lambda graph, *rest, f=superstep._start: seen.append(graph) or f(graph, *rest))
