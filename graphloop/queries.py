@@ -32,7 +32,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 PART = 1_000_000_000
-ROWS = 1_000_000
+ROWS, LINES = 1_000_000, 50_000
 
 
 def query(sql: str | None = None):
@@ -49,9 +49,9 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _tasks(df: DataFrame) -> int:
-    """Over how many tasks rows are dealt: ``ROWS`` each, so that a task's memory doesn't grow with the table."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+def _tasks(df: DataFrame, rows: int | None = None) -> int:
+    """Over how many tasks rows are dealt: ``ROWS`` each, so that a task's work and memory don't grow with the table."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // (rows or ROWS)))
 
 
 def supplier_part(spark: SparkSession, sf: str, both_ways: bool = True, keep: bool = False) -> Graph:
@@ -430,7 +430,9 @@ def record_text(spark, sf):
 def record_text_nested(spark, sf):
     """Nested records, multisets of records, datetime and point values, and strings that look like all of these."""
     line = F.format_string('{"id":%di64, "seen":datetime("2020-01-%02dT10:30:00"), "at":point("%d.5,1"), "name":"a 3d {{x}} 5f %s", "in":{"nation":{"key":%d}}, "tags":{{{"k":%d},{"k":2i8}}}}', "c_custkey", (F.lit(1) + F.col("c_custkey") % 28).cast("int"), "c_custkey", "c_name", "c_nationkey", F.col("c_custkey") % 7)
-    rows = parse_records(_t(spark, sf, "customer").select(line.alias("value")), "id bigint, seen timestamp_ntz, at struct<x:double,y:double>, name string, `in` struct<nation:struct<key:bigint>>, tags array<struct<k:bigint>>")
+    customers = _t(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    customers = customers.repartition(_tasks(customers, LINES))  # a small file would be one task, and lines are parsed in Python
+    rows = parse_records(customers.select(line.alias("value")), "id bigint, seen timestamp_ntz, at struct<x:double,y:double>, name string, `in` struct<nation:struct<key:bigint>>, tags array<struct<k:bigint>>")
     return rows.select("id", "seen", F.col("at.x").alias("x"), "name", F.col("in.nation.key").alias("nation"), F.col("tags.k").alias("tags"))
 
 

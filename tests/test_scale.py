@@ -104,6 +104,13 @@ def test_the_source_table_is_made_of_one_join(spark, monkeypatch):
     assert made[0].select(F.explode("edges.dst")).count() == own.next_part(spark, SF).edges.count()
 
 
+@tables
+def test_records_are_parsed_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(own, "LINES", 10)
+    rows = own.QUERIES["record_text_nested"](spark, SF)
+    assert rows.select(F.spark_partition_id()).distinct().count() >= 12  # 150 lines; the file is one task
+
+
 @tables
 @pytest.mark.parametrize("name", ["connected_components_frontier", "pagerank_struct_state", "pagerank_supplier_part"])
 def test_lines_are_read_once_for_a_run(spark, monkeypatch, name):
@@ -115,7 +122,7 @@ def test_lines_are_read_once_for_a_run(spark, monkeypatch, name):
 
 
 @tables
-@pytest.mark.parametrize("name", ["reachable_from_1", "min_label_parts", "table_to_table", "bfs_hops_from_1"])
+@pytest.mark.parametrize("name", ["reachable_from_1", "min_label_parts", "table_to_table", "bfs_hops_from_1", "shortest_paths_from_1"])
 def test_the_join_of_lines_is_made_once(spark, monkeypatch, name):
     seen = []
     monkeypatch.setattr(superstep, "_start", lambda graph, *rest, f=superstep._start: seen.append(graph) or f(graph, *rest))
