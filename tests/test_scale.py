@@ -112,7 +112,7 @@ def test_records_are_parsed_by_many_tasks(spark, monkeypatch):
 
 
 @tables
-@pytest.mark.parametrize("name", ["connected_components_frontier", "pagerank_struct_state", "pagerank_supplier_part"])
+@pytest.mark.parametrize("name", ["connected_components_frontier", "pagerank_struct_state", "pagerank_supplier_part", "top_suppliers_by_rank"])
 def test_lines_are_read_once_for_a_run(spark, monkeypatch, name):
     """Pairs and vertices are kept; no program goes back to the lines."""
     seen = []
