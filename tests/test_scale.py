@@ -111,6 +111,16 @@ def test_records_are_parsed_by_many_tasks(spark, monkeypatch):
     assert rows.select(F.spark_partition_id()).distinct().count() >= 12  # 150 lines; the file is one task
 
 
+@tables
+@pytest.mark.parametrize("name", ["degree_out"])
+def test_pairs_of_a_task_are_bounded(spark, monkeypatch, name):
+    monkeypatch.setattr(own, "ROWS", 500)
+    pairs = own.supplier_part(spark, SF, both_ways=False).edges
+    most = max(r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect())
+    assert most < 500 and pairs.count() == pairs.distinct().count() > 1500
+    assert "REPARTITION_BY_NUM" in plan_of(own.QUERIES[name](spark, SF))
+
+
 @tables
 @pytest.mark.parametrize("name", ["connected_components_frontier", "pagerank_struct_state", "pagerank_supplier_part", "top_suppliers_by_rank"])
 def test_lines_are_read_once_for_a_run(spark, monkeypatch, name):
