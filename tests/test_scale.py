@@ -112,7 +112,7 @@ def test_records_are_parsed_by_many_tasks(spark, monkeypatch):
 
 
 @tables
-@pytest.mark.parametrize("name", ["degree_out"])
+@pytest.mark.parametrize("name", ["degree_out", "vertex_edge_counts"])
 def test_pairs_of_a_task_are_bounded(spark, monkeypatch, name):
     monkeypatch.setattr(own, "ROWS", 500)
     pairs = own.supplier_part(spark, SF, both_ways=False).edges
