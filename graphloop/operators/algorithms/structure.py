@@ -15,8 +15,9 @@ from graphloop.graph import Graph
 from graphloop.scratch import materialise
 
 #: Colours for cells of CELL_LEAST edges, up to COLOURS; more only where a cell would hold over CELL edges. Edges and
-#: triangles are packed up to PACK at a time; PART edges go to a task that searches cliques. WEDGES paths are tried at once.
-COLOURS, CELL_LEAST, CELL, PACK, PART, WEDGES = 8, 250_000, 20_000_000, 2_000_000, 500_000, 1 << 19
+#: triangles are packed up to PACK at a time. Cliques are searched in up to 64 parts of PART_LEAST edges, or more of PART.
+#: WEDGES paths are tried at once.
+COLOURS, CELL_LEAST, CELL, PACK, PART_LEAST, PART, WEDGES = 8, 250_000, 16_000_000, 2_000_000, 20_000, 500_000, 1 << 19
 
 
 def _pack(columns: list[np.ndarray]) -> bytes:
@@ -90,23 +91,30 @@ def _closed(u: np.ndarray, v: np.ndarray) -> Iterator[np.ndarray]:
     Paths are made at the end of least degree, which has at most the root of twice the number of edges above it, so a hub
     makes few; most that aren't closed fall by a bit table of the edges.
     """
-    ids, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    ids = np.union1d(np.unique(u), np.unique(v))
     n = len(ids)
-    ranked = np.argsort(np.bincount(ends, minlength=n), kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[ranked] = np.arange(n)
-    ids, ends = ids[ranked], rank[ends]
-    a, b = ends[: len(u)], ends[len(u) :]
-    key = np.sort(np.minimum(a, b) * n + np.maximum(a, b))
-    del ends, a, b
-    x, y = key // n, key % n
-    left = np.cumsum(np.bincount(x, minlength=n))[x] - np.arange(len(key)) - 1
+    small = np.int32 if n < 2**31 else np.int64  # about 35 bytes an edge in all
+    a = np.searchsorted(ids, u).astype(small)
+    del u
+    b = np.searchsorted(ids, v).astype(small)
+    del v
+    ranked = np.argsort(np.bincount(a, minlength=n) + np.bincount(b, minlength=n), kind="stable")
+    rank = np.empty(n, small)
+    rank[ranked] = np.arange(n, dtype=small)
+    ids, a, b = ids[ranked], rank[a], rank[b]
+    key = np.minimum(a, b).astype(np.int64)
+    key *= n
+    key += np.maximum(a, b)
+    del a, b
+    key.sort()
+    x, y = (key // n).astype(small), (key % n).astype(small)
+    left = np.cumsum(np.bincount(x, minlength=n)).astype(small)[x] - np.arange(1, len(key) + 1, dtype=small)
     shift, mix = np.uint64(64 - max(10, (16 * len(key) - 1).bit_length())), np.uint64(0x9E3779B97F4A7C15)
     bits = np.zeros(1 << (61 - int(shift)), np.uint8)
-    slot = (key.view(np.uint64) * mix) >> shift
-    np.bitwise_or.at(bits, slot >> np.uint64(3), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
-    del slot
-    done = np.cumsum(left)
+    for k in range(0, len(key), WEDGES):
+        slot = (key[k : k + WEDGES].view(np.uint64) * mix) >> shift
+        np.bitwise_or.at(bits, slot >> np.uint64(3), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
+    done = np.cumsum(left, dtype=np.int64)
     total, at = int(done[-1]) if len(done) else 0, 0
     while at < len(key) and (done[at - 1] if at else 0) < total:
         before = int(done[at - 1]) if at else 0
@@ -114,7 +122,7 @@ def _closed(u: np.ndarray, v: np.ndarray) -> Iterator[np.ndarray]:
         many = left[at:end]
         first = np.repeat(np.arange(at, end), many)
         second = np.arange(len(first)) - np.repeat(done[at:end] - many - before, many) + first + 1
-        wanted = y[first] * n + y[second]
+        wanted = y[first].astype(np.int64) * n + y[second]
         slot = (wanted.view(np.uint64) * mix) >> shift
         may = np.flatnonzero((bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1)
         found = np.minimum(np.searchsorted(key, wanted[may]), len(key) - 1)
@@ -206,7 +214,7 @@ def _shown(cliques: list[list[int]]) -> str:
 
 def _cliques_by_parts(graph: Graph, mutual: DataFrame, edges: int) -> DataFrame:
     """(id, cliques): ``mutual`` and its triangles meet by parts of the vertices, packed."""
-    parts = max(1, ceil(edges / PART))
+    parts = max(1, min(64, ceil(edges / PART_LEAST)), ceil(edges / PART))
 
     def give(found: Iterator[np.ndarray]) -> Iterator[dict]:
         held, n = [], 0
